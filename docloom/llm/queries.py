@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .inner_topk import InnerProductTopK
 from .jaccard_join import JaccardJoin
+from .secret_crf import SecretTagger, scan
 from .toxicity import score_documents
 from .warc_store import round_trip
 
@@ -14,6 +15,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return scan(docs, SecretTagger.fit(docs, limit=40_000))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=12_000)
 
@@ -31,6 +37,7 @@ def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_crf": op2_secret_crf,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
