@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import Decontaminator
 from .inner_topk import InnerProductTopK
 from .jaccard_join import JaccardJoin
 from .secret_crf import SecretTagger, scan
@@ -20,6 +21,10 @@ def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(docs, SecretTagger.fit(docs, limit=40_000))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Decontaminator().leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=12_000)
 
@@ -38,6 +43,7 @@ def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_secret_crf": op2_secret_crf,
+    "op3_decontaminate": op3_decontaminate,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
