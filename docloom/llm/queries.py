@@ -7,7 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import Decontaminator
 from .inner_topk import InnerProductTopK
 from .jaccard_join import JaccardJoin
+from .language_id import LanguageIdentifier, LanguageModel, document_evidence, page_evidence
+from .raking import Raking
 from .secret_crf import SecretTagger, scan
+from .storage import Scratch
 from .toxicity import score_documents
 from .warc_store import round_trip
 
@@ -25,6 +28,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Decontaminator().leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return Raking(fraction=0.5, temper=0.5).draw(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=12_000)
 
@@ -37,6 +45,12 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, _table(spark, sf_dir, "pages"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rows = document_evidence(docs).unionByName(page_evidence(_table(spark, sf_dir, "pages")))
+    return LanguageIdentifier(LanguageModel.fit(docs)).identify(rows, Scratch(spark, "langid"))
+
+
 def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return InnerProductTopK(k=10, every=100, scale=1024).search(_table(spark, sf_dir, "embeddings"))
 
@@ -44,9 +58,11 @@ def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_secret_crf": op2_secret_crf,
     "op3_decontaminate": op3_decontaminate,
+    "op4_raking": op4_raking,
     "op5_toxicity": op5_toxicity,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
+    "op8_language_id": op8_language_id,
     "op10_inner_topk": op10_inner_topk,
 }
 
