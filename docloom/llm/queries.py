@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import Decontaminator
 from .inner_topk import InnerProductTopK
 from .jaccard_join import JaccardJoin
+from .katz import score_documents as katz_scores
 from .language_id import LanguageIdentifier, LanguageModel, document_evidence, page_evidence
 from .raking import Raking
 from .secret_crf import SecretTagger, scan
@@ -19,6 +20,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_scores(_table(spark, sf_dir, "documents"))
+
+
 def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return scan(docs, SecretTagger.fit(docs, limit=40_000))
@@ -56,6 +61,7 @@ def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_katz": op1_katz,
     "op2_secret_crf": op2_secret_crf,
     "op3_decontaminate": op3_decontaminate,
     "op4_raking": op4_raking,
