@@ -324,9 +324,9 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
 
     ``value(c, n, known)`` gives two columns for each word from its unigram figures: their sums
     are s0 (tokens known) and s1; s2 is the model's score, to which ``value``'s third adds. ``seen``,
-    a bit table of the model's bigram keys, spares sending bigrams that the model can't hold.
+    packed bits of the model's bigram keys, spares sending bigrams that the model can't hold.
     """
-    bits = int(np.log2(len(seen))) if seen is not None else 0
+    bits = int(np.log2(len(seen) * 8)) if seen is not None else 0
 
     def header(batch: pa.RecordBatch, size: np.ndarray) -> tuple[int, bytes]:
         ids = np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min), dtype=np.int64)
@@ -366,12 +366,13 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
             yield as_batch(postings(np.concatenate([w, begins]), np.concatenate([d, np.arange(len(texts))]), lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, True))
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.unpackbits(seen).astype(bool) if seen is not None else None
         for batch, texts in _blocks(batches, 1):
             w, h, d, size = sequences(texts)
             block, head = header(batch, size)
             key = bigram_key(h, w)
-            if seen is not None:
-                keep = np.flatnonzero(seen[(key >> _U64(64 - bits)).astype(np.int64)])
+            if table is not None:
+                keep = np.flatnonzero(table[(key >> _U64(64 - bits)).astype(np.int64)])
                 key, w, h, d = key[keep], w[keep], h[keep], d[keep]
             yield as_batch(postings(key, d, lambda k, i: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, False))
 

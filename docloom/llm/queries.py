@@ -8,6 +8,7 @@ from .decontaminate import Decontaminator
 from .inner_topk import InnerProductTopK
 from .jaccard_join import JaccardJoin
 from .katz import score_documents as katz_scores
+from .kneser_ney import judge
 from .language_id import LanguageIdentifier, LanguageModel, document_evidence, page_evidence
 from .raking import Raking
 from .secret_crf import SecretTagger, scan
@@ -39,7 +40,7 @@ def op4_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=12_000)
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=8_000)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +57,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return LanguageIdentifier(LanguageModel.fit(docs)).identify(rows, Scratch(spark, "langid"))
 
 
+def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = _table(spark, sf_dir, "labels").where("quality = 1")
+    return judge(_table(spark, sf_dir, "documents"), trusted, limit=12_000)
+
+
 def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return InnerProductTopK(k=10, every=100, scale=1024).search(_table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_warc": op7_warc,
     "op8_language_id": op8_language_id,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_inner_topk": op10_inner_topk,
 }
 
