@@ -51,7 +51,7 @@ def number_text(col: Column, kind: T.DataType) -> Column:
     big = F.when(n > e + 1, F.concat(F.substring(digits, F.lit(1), e + 1), F.lit("."), F.substring(digits, e + 2, n))).otherwise(F.rpad(digits, e + 1, F.lit("0")))
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
     power = F.concat(whole, F.when(tail != "", F.concat(F.lit("."), tail)).otherwise(""), F.lit("e"), F.when(e >= 0, "+").otherwise(""), e.cast("string"))
-    scaled = F.concat(sign, F.when((e >= 0) & (e < 21), big).when((e < 0) & (e >= -7), small).otherwise(power))
+    scaled = F.concat(sign, F.when((e >= 0) & (e < 21), big).when((e < 0) & (e >= -6), small).otherwise(power))
     return (
         F.when(x.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(x), "NaN")
