@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _LOCAL: list[str] = []
 
@@ -31,6 +32,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/docloom-{label}-{uuid.uuid4().hex[:12]}"
+        self._schemas: dict[str, StructType] = {}
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -40,10 +42,12 @@ class Scratch:
         if partition_by:
             writer = writer.partitionBy(*partition_by)
         writer.parquet(self.path(name))
+        self._schemas[name] = df.schema
         return self.read(name)
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+        """A table written here; its schema is known, so an empty one reads as well."""
+        return self.spark.read.schema(self._schemas[name]).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
