@@ -113,3 +113,10 @@ def test_hashes(spark):
     rows = ["hello", "", "ünï\U0001f600"]
     assert values(spark, masks.quick_hash, rows, T.StringType()) == [plain_hash(x) for x in rows]
     assert values(spark, masks.sha_prefix, ["x"], T.StringType()) == [hashlib.sha256(b"x").hexdigest()[:40]]
+
+
+def test_public_names():
+    import docloom.api as api
+
+    for n in ("from_", "flatten", "safe_parse", "mask_sensitive", "to_csv", "json_schema", "Sections", "exclude_keys_direct"):
+        assert n in api.__all__
