@@ -83,19 +83,22 @@ class CompressionToxicity:
     threshold: float = 0.3
 
     @staticmethod
-    def fit(labelled: DataFrame, limit: int = 12_000, level: int = 5, base_bytes: int = 4096, seed: int = 7) -> CompressionToxicity:
-        """Learn from ``text, toxic`` rows.
+    def fit(docs: DataFrame, labels: DataFrame, limit: int = 8_000, level: int = 5, base_bytes: int = 4096, seed: int = 7) -> CompressionToxicity:
+        """Learn from documents ``doc_id, text`` with labels ``doc_id, toxic``.
 
         At most ``limit`` rows are read, those of the smallest text digests, so
         the choice depends neither on order nor on partitions and equal texts
-        fall out together. One quarter of the distinct texts, chosen by digest,
-        calibrates; the rest gives the dictionaries. Rows with a null label or
-        text are left out.
+        fall out together. Ids and digests alone are joined and sorted; only the
+        chosen rows' texts move. One quarter of the distinct texts, chosen by
+        digest, calibrates; the rest gives the dictionaries. Rows with a null
+        label or text are left out.
         """
-        rows = labelled.where("text is not null and toxic is not null").select(F.sha2("text", 256).alias("h"), F.encode(F.col("text"), "UTF-8").alias("text"), F.col("toxic").cast("int"))
-        picked = rows.select("h", "toxic").distinct().orderBy("h", "toxic").limit(limit)  # ids of a bounded sample
-        sample = rows.join(F.broadcast(picked), ["h", "toxic"], "left_semi").dropDuplicates(["h", "toxic"]).orderBy("h", "toxic").collect()
-        data = [(bytes(r["text"]).translate(_FOLD), r["toxic"], int(r["h"][:8], 16) % 4 == 0) for r in sample]
+        digests = docs.where("text is not null and doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+        marked = digests.join(labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")), "doc_id")
+        picked = marked.groupBy("h", "toxic").agg(F.min("doc_id").alias("doc_id")).orderBy("h", "toxic").limit(limit)  # a bounded sample
+        texts = docs.where("text is not null").select("doc_id", F.encode(F.col("text"), "UTF-8").alias("text"))
+        sample = sorted({(r["h"], r["toxic"], bytes(r["text"])) for r in texts.join(F.broadcast(picked), "doc_id").collect()})
+        data = [(t.translate(_FOLD), y, h % 4 == 0) for h, y, t in sample]
         toxic = [set(_RUN.findall(t)) for t, y, held in data if y == 1 and not held]
         plain = [_RUN.findall(t) for t, y, held in data if y != 1 and not held]
         in_toxic, in_plain = Counter(w for t in toxic for w in t), Counter(w for t in plain for w in set(t))
@@ -158,9 +161,8 @@ class CompressionToxicity:
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, predicted int, gain long")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, limit: int = 12_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, limit: int = 8_000) -> DataFrame:
     """Fit on labelled rows whose crc32(doc_id) mod 4 is not 2, score all rows."""
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4
-    ids = labels.where(fold != 2).select("doc_id", "toxic")
-    model = CompressionToxicity.fit(docs.select("doc_id", "text").join(ids, "doc_id"), limit)
+    model = CompressionToxicity.fit(docs.select("doc_id", "text"), labels.where(fold != 2), limit)
     return model.score(docs).withColumn("held_out", fold == 2).select("doc_id", "held_out", "score", "predicted", "gain")
