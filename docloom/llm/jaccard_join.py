@@ -9,10 +9,11 @@ difference. By the pigeonhole principle two linked sets agree on a piece. Empty
 pieces say nothing: a band gets ``spare`` more pieces than it needs, and a set
 with more empty pieces than that is cut again with another salt.
 
-Work is linear in the pieces. Sets that share a piece are tested against the
-piece's smallest member first; components of the links found so make nearly all
-other pairs of a group needless, and only pairs of different components that
-share a piece are still tested, in bounded blocks. So no group is expanded into
+Work is linear in the pieces. Each set is first tested against the smallest one
+that it shares a piece with; components of the links found so make nearly all
+other pairs of a group needless. Sets outside a piece's largest component are
+then tested against one member of it, and what pairs of different components
+still share a piece are tested last, in bounded blocks. So no group is expanded into
 its pairs, and no link is lost.
 """
 
@@ -26,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, merged
 from .storage import Scratch
 from .textkit import as_bytes, chunks, mix, shingle_sets
 
@@ -311,14 +312,17 @@ class JaccardJoin:
         by_key = shared.join(member.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct()
         by_key = scratch.write(by_key, "keys")
         hubs = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-        star = by_key.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()
-        star = scratch.write(star, "star")
-        links = self._verify(docs, star, scratch, "links-1")
-        comp = scratch.write(components(links, scratch, "cc1"), "comp-1")
-        more = self._open_pairs(docs, by_key, comp, star, scratch)
-        if more is not None:
-            links = links.union(self._verify(docs, more, scratch, "links-2"))
-            comp = components(links, scratch, "cc2")
+        star = by_key.join(hubs, "key").groupBy(F.col("rep").alias("u")).agg(F.min("hub").alias("v")).where("u <> v")
+        tested = scratch.write(star, "tested-1")
+        links = self._verify(docs, tested, scratch, "links-1")
+        comp = components(links, scratch, "cc1")
+        for k, pairs in ((2, self._second_hubs), (3, self._open_pairs)):
+            open_ = self._mixed(by_key, scratch.write(comp, f"comp-{k}"), scratch, k)
+            if open_.isEmpty():
+                break
+            more = scratch.write(pairs(docs, open_, scratch).distinct().join(tested, ["u", "v"], "left_anti"), f"tested-{k}")
+            tested = tested.union(more)
+            comp = merged(scratch.read(f"comp-{k}"), self._verify(docs, more, scratch, f"links-{k}"), scratch, f"cc{k}")
         return member.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
         )
@@ -335,15 +339,21 @@ class JaccardJoin:
         scratch.release()
         return links
 
-    def _open_pairs(self, docs: DataFrame, by_key: DataFrame, comp: DataFrame, star: DataFrame, scratch: Scratch) -> DataFrame | None:
-        """Pairs of different components that share a piece and are not tested yet."""
+    @staticmethod
+    def _mixed(by_key: DataFrame, comp: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+        """Members of pieces that several components share, with the piece's largest component and a member of it."""
         placed = by_key.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-        mixed = per.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("comps"), F.max("c").alias("most"), F.max_by("comp", "c").alias("main"))
-        mixed = mixed.where("comps > 1 and total > 2").drop("comps")
-        rows = scratch.write(placed.join(mixed, "key"), "mixed")
-        if rows.isEmpty():
-            return None
+        per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("rep").alias("top"))
+        mixed = per.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("comps"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max_by("top", F.struct("c", "comp")).alias("hub"))
+        return scratch.write(placed.join(mixed.where("comps > 1 and total > 2").drop("comps"), "key"), f"mixed-{k}")
+
+    @staticmethod
+    def _second_hubs(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        """Members outside a piece's largest component against one member of it."""
+        return rows.where("comp <> main").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
+
+    def _open_pairs(self, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        """All pairs of different components that share a piece."""
         rest = rows.where("comp <> main")
         a, b = rows.where(f"total <= {BLOCK}").alias("a"), rest.where(f"total <= {BLOCK}").alias("b")
         listed = a.join(b, F.col("a.key") == F.col("b.key")).where("a.comp <> b.comp")
@@ -351,7 +361,7 @@ class JaccardJoin:
         large = rows.where(f"total > {BLOCK}")
         if not large.isEmpty():
             listed = listed.union(self._blocks(docs, large, scratch))
-        return scratch.write(listed.distinct().join(star, ["u", "v"], "left_anti"), "open")
+        return listed
 
     def _blocks(self, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
         t = Threshold(self.num, self.den)
