@@ -13,7 +13,8 @@ Work is linear in the pieces. Each set is first tested against the smallest one
 that it shares a piece with; components of the links found so make nearly all
 other pairs of a group needless. Sets outside a piece's largest component are
 then tested against one member of it, and what pairs of different components
-still share a piece are tested last, in bounded blocks. So no group is expanded into
+still share a piece are tested last, in bounded blocks whose sketches are
+compared in memory, so that only near pairs become rows. So no group is expanded into
 its pairs, and no link is lost.
 """
 
@@ -35,7 +36,9 @@ _SALTS = 4
 _GROW = 1.5
 #: Ids that may be broadcast as a filter (8 bytes each); more are joined.
 BROADCAST_IDS = 2_000_000
-#: Members of one piece whose open pairs are listed; larger ones are compared in blocks of this size.
+#: Members of one piece whose open pairs are listed as rows; those of larger ones are compared by sketch.
+LISTED = 8
+#: Members that meet in one comparison by sketch.
 BLOCK = 256
 
 
@@ -355,10 +358,10 @@ class JaccardJoin:
     def _open_pairs(self, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
         """All pairs of different components that share a piece."""
         rest = rows.where("comp <> main")
-        a, b = rows.where(f"total <= {BLOCK}").alias("a"), rest.where(f"total <= {BLOCK}").alias("b")
+        a, b = rows.where(f"total <= {LISTED}").alias("a"), rest.where(f"total <= {LISTED}").alias("b")
         listed = a.join(b, F.col("a.key") == F.col("b.key")).where("a.comp <> b.comp")
         listed = listed.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v"))
-        large = rows.where(f"total > {BLOCK}")
+        large = rows.where(f"total > {LISTED}")
         if not large.isEmpty():
             listed = listed.union(self._blocks(docs, large, scratch))
         return listed

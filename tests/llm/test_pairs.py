@@ -52,6 +52,7 @@ def test_join_equals_brute_force(docs, documents, k, num):
 
 def test_blocks_find_what_lists_find(docs, documents, monkeypatch):
     monkeypatch.setattr(jj, "BLOCK", 4)
+    monkeypatch.setattr(jj, "LISTED", 2)
     got = {r["doc_id"]: r["component_id"] for r in jj.JaccardJoin(3, 90, 100).classes(docs).collect()}
     assert got == {i: c for i, (_, c) in classes([(r[0], r[1]) for r in documents], 3, 90, 100).items()}
 
