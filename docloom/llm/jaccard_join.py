@@ -138,7 +138,7 @@ def _pack(shards: int, width: int, t: Threshold):
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0), dtype=np.int64)
             rows: list[tuple[int, int, bytes]] = []
-            for a, b in chunks(texts, 16 << 20):
+            for a, b in chunks(texts, 4 << 20):
                 sets = shingle_sets(texts[a:b], width)
                 sig = np.zeros((b - a, 4), np.int64)
                 first: dict[tuple, int] = {}
@@ -205,7 +205,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def shard_count(df: DataFrame, each: int = 8 << 20) -> int:
+def shard_count(df: DataFrame, each: int = 4 << 20) -> int:
     """Shards that grow with the table, about ``each`` stored bytes behind one."""
     return int(min(max(input_bytes(df) // each, 8), 50_000))
 
