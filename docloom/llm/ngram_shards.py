@@ -33,7 +33,7 @@ from .textkit import Tokens, as_bytes, chunks, mix
 _U64 = np.uint64
 BEGIN = int(mix(np.array([101], _U64))[0])
 END = int(mix(np.array([202], _U64))[0])
-_BLOCK_BYTES = 32 << 20
+_BLOCK_BYTES = 12 << 20
 _PART = "shard int, payload binary"
 LARGEST = 6  # counts of counts that are kept
 
@@ -319,12 +319,12 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, sums: SumsFn, ad
     return scratch.write(done, name, ("kind",), "none")
 
 
-def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], seen: np.ndarray | None = None) -> DataFrame:
+def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, seen: np.ndarray | None = None, spent: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``doc_id, text``: ``doc_id, n_tokens, s0, s1, s2``.
 
     ``value(c, n, known)`` gives two columns for each word from its unigram figures: their sums
     are s0 (tokens known) and s1; s2 is the model's score, to which ``value``'s third adds. ``seen``,
-    packed bits of the model's bigram keys, spares sending bigrams that the model can't hold.
+    packed bits of the model's bigram keys, spares sending bigrams that the model can't hold. Tables ``spent`` are dropped once the words are done.
     """
     bits = int(np.log2(len(seen) * 8)) if seen is not None else 0
 
@@ -428,21 +428,22 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
             _, k, times, d, size = opened(payload)
             at, known = look(keys, k)
             v = gain[at].astype(np.float64) * known if len(gain) else np.zeros(len(k))
-            rows.append((block, b"", np.bincount(d, np.repeat(v, times), size).tobytes()))
+            rows.append((block, b"", np.bincount(d, np.repeat(v, times), size).astype(np.float32).tobytes()))
         return sums_table(rows)
 
     def total(table: pa.Table) -> pa.Table:
         """Sums of one block; equal blocks (repeated rows) arrive together and come out as often."""
         heads = [x for x in table.column("head").to_pylist() if x]
+        if not heads:
+            raise RuntimeError("the documents were not read in the same blocks twice; write them to a table first")
         ids, size, valid = (unpack(x, k) for x, k in zip(split_parts(heads[0]), (np.int64, np.int64, np.uint8), strict=True))
         ids = np.cumsum(ids)
         sums = np.zeros((3, len(ids)))
         for x in table.column("sums").to_pylist():
-            v = np.frombuffer(x, np.float64)
-            if len(v) == 3 * len(ids):
-                sums += v.reshape(3, -1)
+            if len(x) == 24 * len(ids):
+                sums += np.frombuffer(x, np.float64).reshape(3, -1)
             else:
-                sums[2] += v
+                sums[2] += np.frombuffer(x, np.float32)
         times = len(heads)
         col = lambda x: np.tile(x, times)
         return pa.table({"doc_id": pa.array(col(ids), mask=col(valid == 0)), "n_tokens": pa.array(col(size)), "s0": pa.array(col(sums[0] / times)), "s1": pa.array(col(sums[1] / times)), "s2": pa.array(col(sums[2] / times))})
@@ -452,6 +453,14 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
     stored = words.where("kind = 0").select("kind", "shard", "payload").union(model.where("kind = 1").select("kind", "shard", "payload"))
     by_word = docs.mapInArrow(send_words, part).groupBy("shard").cogroup(stored.groupBy("shard")).applyInArrow(word_sums, out)
     by_pair = docs.mapInArrow(send_pairs, part).groupBy("shard").cogroup(model.where("kind = 0").select("shard", "payload").groupBy("shard")).applyInArrow(pair_sums, out)
+    # one after the other, so that only one set of shuffle files is there at a time; both passes cut the same
+    # blocks, as ``docs`` is a stored table
+    by_word = scratch.write(by_word, "sums-words")
+    for table in spent:
+        scratch.drop(table)
+    scratch.release()
+    by_pair = scratch.write(by_pair, "sums-pairs")
+    scratch.release()
     return by_word.union(by_pair).groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, s0 double, s1 double, s2 double")
 
 

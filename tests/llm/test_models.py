@@ -90,7 +90,7 @@ def test_katz_spreads_a_frequent_word(spark):
         counts = scratch.write(ngram_shards.count_words(bigrams, layout), "w", ("kind",))
         model = katz.Katz(ngram_shards.Figures.of(bigrams, counts))
         weights = ngram_shards.weigh(bigrams, counts, layout, model.sums, model.adds, scratch, "m")
-        got = ngram_shards.score(df, counts, weights, layout, model.value).collect()
+        got = ngram_shards.score(df, counts, weights, layout, model.value, scratch).collect()
         results.append({r["doc_id"]: r["s2"] for r in got})
     assert results[0] == pytest.approx(results[1], rel=1e-5)
 
