@@ -72,9 +72,9 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     """
     scratch = scratch or Scratch(docs.sparkSession, "katz")
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shards = shard_count(docs)
+    shards = shard_count(docs, 2 << 20)
     train = docs.where(fold_of(F.col("doc_id"), 5) != 1).select("text")
-    layout = Layout(shards, max(4, shards // 4), frequent_first_words(train, shards))
+    layout = Layout(shards, max(4, shards // 8), frequent_first_words(train, shards))
     bigrams = scratch.write(count_bigrams(train, layout), "bigrams", codec="none")
     scratch.release()
     words = scratch.write(count_words(bigrams, layout), "words", ("kind",), "none")
@@ -83,8 +83,9 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     scratch.release()
     model = weigh(bigrams, words, layout, katz.sums, katz.adds, scratch, "model")
     scratch.drop("bigrams")
+    scratch.drop("words/kind=1")  # the answers have been used
     scratch.release()
-    got = score(docs, words, model, layout, katz.value)
+    got = score(docs, words, model, layout, katz.value, scratch, spent=("words", "model/kind=1"))
     return got.select(
         "doc_id",
         (fold_of(F.col("doc_id"), 5) == 1).alias("held_out"),
