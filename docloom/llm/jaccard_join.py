@@ -348,7 +348,7 @@ class JaccardJoin:
         placed = by_key.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("rep").alias("top"))
         mixed = per.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("comps"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max_by("top", F.struct("c", "comp")).alias("hub"))
-        return scratch.write(placed.join(mixed.where("comps > 1 and total > 2").drop("comps"), "key"), f"mixed-{k}")
+        return scratch.write(placed.join(mixed.where("comps > 1").drop("comps"), "key"), f"mixed-{k}")
 
     @staticmethod
     def _second_hubs(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:

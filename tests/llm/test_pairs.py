@@ -57,6 +57,16 @@ def test_blocks_find_what_lists_find(docs, documents, monkeypatch):
     assert got == {i: c for i, (_, c) in classes([(r[0], r[1]) for r in documents], 3, 90, 100).items()}
 
 
+def test_join_of_nested_sets(spark):
+    """The largest id meets a smaller hub that it does not link with; its link shares pieces with it alone."""
+    rows = []
+    for f in range(12):
+        w = [f"f{f}w{i}" for i in range(112)]
+        rows += [(3 * f + k, " ".join(w[: n + 2])) for k, n in ((1, 85), (2, 110), (3, 100))]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.JaccardJoin(3, 90, 100).classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows, 3, 90, 100) and got[3] == (100, 2)
+
+
 def test_join_of_nothing(empty):
     assert jj.JaccardJoin().classes(empty).count() == 0
 
