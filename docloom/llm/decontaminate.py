@@ -4,7 +4,7 @@ A passage of ``m`` characters within ``k`` edits of a piece of a document shares
 at least ``m - q + 1 - k q`` q-grams with it, all on diagonals at most ``k``
 apart. Shared q-grams are counted in overlapping bands of diagonals; regions
 that meet the bound are kept and aligned within their band. Passages are windows
-of an item, so part of an item counts as a leak too. Texts are compared with A-Z
+of an item, one from every byte, so part of an item counts as a leak too. Texts are compared with A-Z
 folded and blanks run together.
 """
 
@@ -69,6 +69,35 @@ def banded_edits(a: bytes, b: bytes, low: int, high: int, most: int) -> int:
     return min(row.values(), default=far)
 
 
+def window_edits(item: np.ndarray, text: np.ndarray, starts: np.ndarray, m: int, low: int, high: int, most: int) -> np.ndarray:
+    """``banded_edits`` of the ``m`` bytes of ``item`` from each start (ascending) in ``text``, diagonals counted from the item's begin."""
+    out = np.full(len(starts), most + 1)
+    wide = np.arange(high - low + 1)
+    for a in range(0, len(starts), 4096):
+        s = starts[a : a + 4096]
+        # beyond the text stand zeros, which equal nothing: to replace one costs what to drop a byte costs
+        begin, end = int(s[0]) + low, int(s[-1]) + m + high
+        near = np.zeros(end - begin, np.uint8)
+        lo, hi = min(max(begin, 0), len(text)), max(min(end, len(text)), 0)
+        if lo < hi:
+            near[lo - begin : hi - begin] = text[lo:hi]
+        rows = np.lib.stride_tricks.sliding_window_view(near, len(wide))
+        open_, row = np.arange(len(s)), np.zeros((len(s), len(wide)), np.int64)
+        for i in range(m):
+            at = s[open_] + i
+            new = row + (rows[at - s[0]] != item[at][:, None])
+            new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
+            row = np.minimum.accumulate(new - wide, axis=1) + wide
+            keep = row.min(axis=1) <= most
+            if not keep.all():
+                open_, row = open_[keep], row[keep]
+                if not len(open_):
+                    break
+        if len(open_):
+            out[a + open_] = row.min(axis=1)
+    return out
+
+
 @dataclass(frozen=True)
 class _Index:
     """Q-grams of some items: sorted distinct hashes, where each occurs, and a bit table in front."""
@@ -102,21 +131,15 @@ class Decontaminator:
     Documents need ``doc_id`` and ``text``, items ``item_id`` and ``text``. Null
     and empty texts match nothing, nor do items of fewer than ``q`` folded bytes.
     Repeated rows give repeated results, repeated items count once, and no items
-    or no documents give no rows. A passage is ``window`` bytes of an item, or all
-    of a shorter one; its edit budget is ``rate`` of its length.
+    or no documents give no rows. A passage is any ``window`` bytes of an item in
+    a row, or all of a shorter one; its edit budget is ``rate`` of its length. Of the
+    passages in a region the one of fewest edits is given, of those the first.
     """
 
     q: int = 10
     window: int = 80
-    stride: int = 40
     rate: float = 0.07
 
-    def _passages(self, length: int) -> list[tuple[int, int]]:
-        if length <= self.window:
-            return [(0, length)]
-        starts = [*range(0, length - self.window, self.stride), length - self.window]
-        return [(s, self.window) for s in starts]
-
     def _budget(self, m: int) -> tuple[int, int]:
         """Edits, and shared q-grams that the lemma then asks for; where it asks for none, one."""
         k = int(self.rate * m)
@@ -158,7 +181,7 @@ class Decontaminator:
             head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             size = np.diff(np.append(head, len(key)))
             # the lemma's bound for a passage of this item; a document that a leak is known of is done
-            least = np.array([self._budget(self._passages(len(t))[0][1])[1] for t in index.texts])
+            least = np.array([self._budget(min(len(t), self.window))[1] for t in index.texts])
             for g in np.flatnonzero(size >= least[item[hit[head]]]):
                 own = hit[head[g] : head[g] + size[g]]
                 it = int(item[own[0]])
@@ -174,19 +197,22 @@ class Decontaminator:
         return out
 
     def _verify(self, item: bytes, text: bytes, places: np.ndarray, low: int, span: int) -> tuple[int, int, int] | None:
-        for s, m in self._passages(len(item)):
-            k, least = self._budget(m)
-            if ((places >= s) & (places <= s + m - self.q)).sum() < least:
-                continue
-            passage = item[s : s + m]
-            lo, hi = max(0, s + low - k), min(len(text), s + low + span + m + k)
-            at = text.find(passage, lo, hi)
+        m = min(len(item), self.window)
+        k, least = self._budget(m)
+        starts = np.arange(len(item) - m + 1)
+        shared = np.searchsorted(places, starts + m - self.q, side="right") - np.searchsorted(places, starts)
+        for s in np.flatnonzero(shared == m - self.q + 1).tolist():
+            at = text.find(item[s : s + m], max(0, s + low - k), max(0, s + low + span + m + k))
             if at >= 0:
                 return 0, at, at + m
-            edits = banded_edits(passage, text[lo:hi], s + low - k - lo, s + low + span + k - lo, k)
-            if edits <= k and hi > lo:
-                return edits, lo, hi
-        return None
+        starts = starts[shared >= least]
+        if not len(starts):
+            return None
+        edits = window_edits(np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8), starts, m, low - k, low + span + k, k)
+        best = int(edits.argmin())
+        s = int(starts[best])
+        lo, hi = max(0, s + low - k), min(len(text), s + low + span + m + k)
+        return (int(edits[best]), lo, hi) if edits[best] <= k and hi > lo else None
 
     def _indexes(self, items: DataFrame) -> Iterator[_Index]:
         """Items in blocks of bounded text; a block that hashing made too large is cut further."""

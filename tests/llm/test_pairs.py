@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import jaccard_join as jj
 from docloom.llm.components import components
-from docloom.llm.decontaminate import Decontaminator, banded_edits, fold
+from docloom.llm.decontaminate import Decontaminator, banded_edits, fold, window_edits
 from docloom.llm.storage import Scratch
 
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -152,6 +152,35 @@ def test_decontaminate(spark, docs, documents, empty):
     assert d.leaks(empty, items).count() == 0 and d.clean(docs, items).columns == docs.columns
 
 
+def test_window_edits():
+    import numpy as np
+
+    r = random.Random(9)
+    for _ in range(100):
+        item, text = (bytes(r.choice(b"ab") for _ in range(n)) for n in (r.randrange(6, 20), r.randrange(0, 20)))
+        got = window_edits(np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8), np.arange(len(item) - 5), 6, -40, 40, 3)
+        assert got.tolist() == [min(edits_within(item[s : s + 6], text), 4) for s in range(len(item) - 5)]
+
+
+def test_passages_begin_anywhere():
+    """Every 80 bytes of an item, as they are and with five edits, and 74 that are none."""
+    from docloom.llm.decontaminate import _Index
+
+    r = random.Random(11)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200)).encode()
+    index, other = _Index.build([(1, item)], 10), b"0123456789 " * 9
+    for change in (0, 5):
+        texts = []
+        for s in range(121):
+            part = bytearray(item[s : s + 80])
+            for at in range(change):
+                part[16 * at + 8] = 48
+            texts.append(other + bytes(part) + other)
+        found = Decontaminator()._leaks(texts, index)
+        assert [[x[:2] for x in f] for f in found] == [[(0, change)]] * 121
+    assert Decontaminator()._leaks([other + item[33:107] + other], index) == [[]]
+
+
 def test_many_item_blocks(spark, docs, monkeypatch):
     from docloom.llm import decontaminate
 
