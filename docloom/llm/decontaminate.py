@@ -171,14 +171,17 @@ class Decontaminator:
                 continue
             slot = np.repeat(index.begin[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
             pos, item, place = np.repeat(at, many), index.item[slot], index.place[slot]
-            diagonal = pos - place + (1 << 24)
+            doc = np.searchsorted(offset, pos, side="right") - 1
+            # from the document's begin, so that no band spans documents or depends on its neighbours
+            diagonal = pos - offset[doc] - place + (1 << 24)
             band = diagonal // width
             near = np.flatnonzero((diagonal - band * width < reach) & (band > 0))
             hit = np.concatenate([np.arange(total), near])
             key = np.concatenate([band, band[near] - 1]) + (item[hit].astype(np.int64) << 36)
-            order = np.argsort(key, kind="stable")
+            order = np.lexsort((key, doc[hit]))
             key, hit = key[order], hit[order]
-            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            doc = doc[hit]
+            head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
             size = np.diff(np.append(head, len(key)))
             # the lemma's bound for a passage of this item; a document that a leak is known of is done
             least = np.array([self._budget(min(len(t), self.window))[1] for t in index.texts])
@@ -186,10 +189,10 @@ class Decontaminator:
                 own = hit[head[g] : head[g] + size[g]]
                 it = int(item[own[0]])
                 first = (int(key[head[g]]) & ((1 << 36) - 1)) * width - (1 << 24)
-                d = int(np.searchsorted(offset, pos[own[0]], side="right")) - 1
+                d = int(doc[head[g]])
                 if any(x[0] == it for x in out[a + d]):
                     continue
-                found = self._verify(index.texts[it], folded[d][0].tobytes(), np.unique(place[own]), first - int(offset[d]), width + reach)
+                found = self._verify(index.texts[it], folded[d][0].tobytes(), np.unique(place[own]), first, width + reach)
                 if found:
                     edits, lo, hi = found
                     where = folded[d][1]

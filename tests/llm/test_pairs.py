@@ -181,6 +181,19 @@ def test_passages_begin_anywhere():
     assert Decontaminator()._leaks([other + item[33:107] + other], index) == [[]]
 
 
+def test_neighbours_do_not_hide_a_leak():
+    """A document that begins with the middle of an item, behind one that shares a chance gram on the same diagonals."""
+    from docloom.llm.decontaminate import _Index
+
+    r = random.Random(12)
+    item = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(300)).encode()
+    index, leak = _Index.build([(1, item)], 10), item[150:260] + b" 0123456789"
+    # the gap of 18 bytes counts: on the leak's diagonal stands, so far before it, what the item has there
+    chance = b"0123456789 " * 4 + item[150 - 18 - 20 : 150 - 18 - 10] + b"#" * 10
+    alone = Decontaminator()._leaks([leak], index)[0]
+    assert alone and Decontaminator()._leaks([chance, leak], index) == [[], alone]
+
+
 def test_many_item_blocks(spark, docs, monkeypatch):
     from docloom.llm import decontaminate
 
