@@ -319,12 +319,13 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, sums: SumsFn, ad
     return scratch.write(done, name, ("kind",), "none")
 
 
-def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, seen: np.ndarray | None = None, spent: tuple[str, ...] = ()) -> DataFrame:
+def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
     """Per row of ``doc_id, text``: ``doc_id, n_tokens, s0, s1, s2``.
 
     ``value(c, n, known)`` gives two columns for each word from its unigram figures: their sums
     are s0 (tokens known) and s1; s2 is the model's score, to which ``value``'s third adds. ``seen``,
     packed bits of the model's bigram keys, spares sending bigrams that the model can't hold. Tables ``spent`` are dropped once the words are done.
+    Postings of a word shard and of a bigram shard are dealt by block over so many ``parts``, each with a copy of the shard of a small model.
     """
     bits = int(np.log2(len(seen) * 8)) if seen is not None else 0
 
@@ -354,7 +355,8 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
     def docs_in(head: bytes) -> int:
         return len(unpack(split_parts(head)[2], np.uint8))
 
-    def as_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def as_batch(rows: list[tuple[int, int, bytes]], shards: int, n: int) -> pa.RecordBatch:
+        rows = [(s + shards * (block % n), block, payload) for s, block, payload in rows]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["shard", "block", "payload"])
 
@@ -363,7 +365,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
             w, h, d, size = sequences(texts)
             block, head = header(batch, size)
             begins = np.full(len(texts), BEGIN, _U64)
-            yield as_batch(postings(np.concatenate([w, begins]), np.concatenate([d, np.arange(len(texts))]), lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, True))
+            yield as_batch(postings(np.concatenate([w, begins]), np.concatenate([d, np.arange(len(texts))]), lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, True), layout.word_shards, parts[0])
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(seen).astype(bool) if seen is not None else None
@@ -374,7 +376,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
             if table is not None:
                 keep = np.flatnonzero(table[(key >> _U64(64 - bits)).astype(np.int64)])
                 key, w, h, d = key[keep], w[keep], h[keep], d[keep]
-            yield as_batch(postings(key, d, lambda k, i: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, False))
+            yield as_batch(postings(key, d, lambda k, i: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, False), layout.shards, parts[1])
 
     def opened(payload: bytes):
         p = split_parts(payload)
@@ -448,11 +450,14 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
         col = lambda x: np.tile(x, times)
         return pa.table({"doc_id": pa.array(col(ids), mask=col(valid == 0)), "n_tokens": pa.array(col(size)), "s0": pa.array(col(sums[0] / times)), "s1": pa.array(col(sums[1] / times)), "s2": pa.array(col(sums[2] / times))})
 
+    def copied(table: DataFrame, shards: int, n: int) -> DataFrame:
+        return table if n == 1 else table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("shard", (F.col("shard") + shards * F.col("part")).cast("int")).drop("part")
+
     part = "shard int, block long, payload binary"
     out = "block long, head binary, sums binary"
     stored = words.where("kind = 0").select("kind", "shard", "payload").union(model.where("kind = 1").select("kind", "shard", "payload"))
-    by_word = docs.mapInArrow(send_words, part).groupBy("shard").cogroup(stored.groupBy("shard")).applyInArrow(word_sums, out)
-    by_pair = docs.mapInArrow(send_pairs, part).groupBy("shard").cogroup(model.where("kind = 0").select("shard", "payload").groupBy("shard")).applyInArrow(pair_sums, out)
+    by_word = docs.mapInArrow(send_words, part).groupBy("shard").cogroup(copied(stored, layout.word_shards, parts[0]).groupBy("shard")).applyInArrow(word_sums, out)
+    by_pair = docs.mapInArrow(send_pairs, part).groupBy("shard").cogroup(copied(model.where("kind = 0").select("shard", "payload"), layout.shards, parts[1]).groupBy("shard")).applyInArrow(pair_sums, out)
     # one after the other, so that only one set of shuffle files is there at a time; both passes cut the same
     # blocks, as ``docs`` is a stored table
     by_word = scratch.write(by_word, "sums-words")
