@@ -307,7 +307,6 @@ class JaccardJoin:
         shards = shard_count(docs)
         packed = docs.mapInArrow(_pack(shards, self.width, t), _PACKED)
         found = scratch.write(packed.groupBy("shard").applyInArrow(_shared_keys, _FOUND), "found", ("kind",))
-        scratch.release()
         sig = found.where("kind = 2").select("doc_id", "n", "x1", "x2")
         reps = sig.where("n > 0").groupBy("n", "x1", "x2").agg(F.min("doc_id").alias("rep"))
         member = scratch.write(sig.join(reps, ["n", "x1", "x2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n"), "member")
@@ -339,7 +338,6 @@ class JaccardJoin:
         joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
         links = scratch.write(joined.mapInArrow(_verified(Threshold(self.num, self.den)), "u long, v long"), name)
         scratch.drop(f"{name}-sets")
-        scratch.release()
         return links
 
     @staticmethod

@@ -35,6 +35,8 @@ class Katz:
     A first word whose followers leave nothing gets half a count more below the line.
     """
 
+    second = 0
+
     def __init__(self, f: Figures):
         self.tokens, self.words = max(f.tokens, 1), f.words
         self.d1, self.d2 = good_turing(f.word_cc), good_turing(f.bigram_cc)
@@ -50,12 +52,15 @@ class Katz:
         """Per first word: its count, discounted count and its followers' unigram mass."""
         return np.stack([np.add.reduceat(c.astype(float), start), np.add.reduceat(self.d2[np.minimum(c, LARGEST)] * c, start), np.add.reduceat(self.unigram(wc), start)], axis=1)
 
-    def adds(self, start: np.ndarray, c: np.ndarray, wc: np.ndarray, wn: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        below = np.where(s[:, 1] < s[:, 0] - 1e-9, s[:, 0], s[:, 0] + 0.5)
-        back = np.log10((below - s[:, 1]) / below) - np.log10(np.maximum(1 - s[:, 2], 1e-12))
-        run = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(c))))
-        seen = np.log10(self.d2[np.minimum(c, LARGEST)] * c / below[run])
-        return seen - np.log10(self.unigram(wc)) - back[run], back
+    def _below(self, s: np.ndarray) -> np.ndarray:
+        return np.where(s[:, 1] < s[:, 0] - 1e-9, s[:, 0], s[:, 0] + 0.5)
+
+    def back(self, s: np.ndarray) -> np.ndarray:
+        below = self._below(s)
+        return np.log10((below - s[:, 1]) / below) - np.log10(np.maximum(1 - s[:, 2], 1e-12))
+
+    def gain(self, c: np.ndarray, f: np.ndarray, s: np.ndarray) -> np.ndarray:
+        return np.log10(self.d2[np.minimum(c, LARGEST)] * c / self._below(s)) - np.log10(self.unigram(f)) - self.back(s)
 
     def value(self, c: np.ndarray, n: np.ndarray, known: np.ndarray) -> np.ndarray:
         base = np.log10((c + 0.5) / (self.tokens + 0.5 * (self.words + 1)))
@@ -76,16 +81,14 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     train = docs.where(fold_of(F.col("doc_id"), 5) != 1).select("text")
     layout = Layout(shards, max(4, shards // 8), frequent_first_words(train, shards))
     bigrams = scratch.write(count_bigrams(train, layout), "bigrams", codec="none")
-    scratch.release()
     words = scratch.write(count_words(bigrams, layout), "words", ("kind",), "none")
     figures = Figures.of(bigrams, words)
     katz = Katz(figures)
-    scratch.release()
-    model = weigh(bigrams, words, layout, katz.sums, katz.adds, scratch, "model")
+    model = weigh(bigrams, words, layout, katz, scratch, "model")
     scratch.drop("bigrams")
     scratch.drop("words/kind=1")  # the answers have been used
-    scratch.release()
-    got = score(docs, words, model, layout, katz.value, scratch, spent=("words", "model/kind=1"))
+    got = score(docs, words, model, layout, katz, scratch, spent=("words", "model/kind=1"))
+    scratch.keep("sums-words", "sums-pairs")
     return got.select(
         "doc_id",
         (fold_of(F.col("doc_id"), 5) == 1).alias("held_out"),

@@ -9,18 +9,23 @@ of packed rows, one a shard:
 ``bigrams``   first word, second word, count, in order of the first
 ``unigrams``  word, count, number of distinct words before it
 ``answers``   the unigram figures of each bigram shard's second words
-``scores``    bigram key and what a seen bigram adds to its document's score
+``scores``    bigram key, its first word's sums, its count and its second word's figure
 ``backoffs``  of each word as a first word: what an unseen follower costs
 
 A document's score is the sum over its tokens of ``unigram(w) + backoff(h)``,
-found in the word's shard, and for seen bigrams of ``adds(h, w)``, found in the
-bigram's shard: that is the recursive evaluation, regrouped into sums.
+found in the word's shard, and for seen bigrams of ``gain(h, w)``, found in the
+bigram's shard: that is the recursive evaluation, regrouped into sums. All sums
+are in double precision. What comes back from the shards meets again by a digest
+of 128 bits of the block's ids and texts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import hashlib
+import json
+from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -260,13 +265,25 @@ class Figures:
         return Figures(r[0], r[1], r[2], tuple(r[3 : 3 + LARGEST]), tuple(r[3 + LARGEST :]), tuple(b))
 
 
-#: Gets first word runs (starts), counts, unigram figures c and n of the second words; gives per first word
-#: (sums for spread words) and, given those sums, (adds per bigram, backoff per first word).
-SumsFn = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-AddsFn = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+class Formulas(Protocol):
+    """A model's formulas. ``second`` is the figure of a second word that ``gain`` needs: 0 its count, 1 its distinct first words."""
 
+    second: int
 
-def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, sums: SumsFn, adds: AddsFn, scratch: Scratch, name: str) -> DataFrame:
+    def sums(self, start: np.ndarray, c: np.ndarray, wc: np.ndarray, wn: np.ndarray) -> np.ndarray:
+        """Of runs of bigrams with one first word (their starts): what is summed over its followers."""
+
+    def back(self, s: np.ndarray) -> np.ndarray:
+        """Of first words, from their sums: what an unseen follower costs."""
+
+    def gain(self, c: np.ndarray, f: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """Of bigrams, from count, second word's figure and first word's sums: what being seen adds."""
+
+    def value(self, c: np.ndarray, n: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """Of words: three columns, the last of them the model's."""
+
+
+def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, name: str) -> DataFrame:
     """``scores`` (kind 0) and ``backoffs`` (kind 1) of every bigram and first word."""
     answers = words.where("kind = 1").select("shard", "payload")
     hot_words = layout.hot[0]
@@ -287,7 +304,7 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, sums: SumsFn, ad
             if not left.num_rows:
                 return pa.table({"h": pa.array([], pa.int64()), "s": pa.array([], pa.list_(pa.float64()))})
             h, _, c, wc, wn, start = open_(left, right)
-            s = sums(start, c, wc, wn)
+            s = rules.sums(start, c, wc, wn)
             keep = np.isin(h[start], hot_words)
             return pa.table({"h": pa.array(h[start][keep].view(np.int64)), "s": pa.array(s[keep].tolist(), pa.list_(pa.float64()))})
 
@@ -300,14 +317,15 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, sums: SumsFn, ad
         rows: list[tuple[int, int, bytes]] = []
         if left.num_rows:
             h, w, c, wc, wn, start = open_(left, right)
-            s = sums(start, c, wc, wn)
+            s = rules.sums(start, c, wc, wn)
             first = h[start]
             for i in np.flatnonzero(np.isin(first, hot_words)) if len(hot_words) else ():
                 s[i] = whole[int(first[i])]
-            value, back = adds(start, c, wc, wn, s)
+            back = rules.back(s)
             k = bigram_key(h, w)
             order = np.argsort(k, kind="stable")
-            rows.append((0, int(key[0].as_py()), join_parts([pack_sorted(k[order]), value[order].astype(np.float32).tobytes()])))
+            run = np.repeat(np.arange(len(start), dtype=np.uint32), np.diff(np.append(start, len(c))))
+            rows.append((0, int(key[0].as_py()), join_parts([pack_sorted(k[order]), pack(run[order]), pack(c[order]), pack((wc, wn)[rules.second][order]), s.tobytes()])))
             order = np.argsort(first, kind="stable")
             first, back = first[order], back[order]
             cuts = _cuts(word_shard(first, layout.word_shards), layout.word_shards)
@@ -319,23 +337,31 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, sums: SumsFn, ad
     return scratch.write(done, name, ("kind",), "none")
 
 
-def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], scratch: Scratch, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
-    """Per row of ``doc_id, text``: ``doc_id, n_tokens, s0, s1, s2``.
+def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
+    """Per row of ``doc_id, text``, and ``tag`` (string) if there: ``doc_id, n_tokens, s0, s1, s2`` and ``tag``.
 
-    ``value(c, n, known)`` gives two columns for each word from its unigram figures: their sums
-    are s0 (tokens known) and s1; s2 is the model's score, to which ``value``'s third adds. ``seen``,
+    s0 and s1 are sums of ``rules.value``'s first two columns; s2 is the model's score. ``seen``,
     packed bits of the model's bigram keys, spares sending bigrams that the model can't hold. Tables ``spent`` are dropped once the words are done.
     Postings of a word shard and of a bigram shard are dealt by block over so many ``parts``, each with a copy of the shard of a small model.
     """
     bits = int(np.log2(len(seen) * 8)) if seen is not None else 0
+    tagged = "tag" in docs.columns
+    docs = docs.select("doc_id", "text", *(["tag"] if tagged else []))
 
-    def header(batch: pa.RecordBatch, size: np.ndarray) -> tuple[int, bytes]:
+    def header(batch: pa.RecordBatch, texts: list[bytes], size: np.ndarray) -> tuple[bytes, bytes]:
         ids = np.asarray(batch.column(0).fill_null(np.iinfo(np.int64).min), dtype=np.int64)
         valid = np.asarray(batch.column(0).is_valid())
-        head = join_parts([pack(np.diff(ids, prepend=0)), pack(size.astype(np.int64)), pack(valid.view(np.uint8))])
-        return int(mix(np.frombuffer((head + b"\0" * (-len(head) % 8)), _U64)).sum(dtype=_U64) >> _U64(1)), head
-
-    def postings(key: np.ndarray, d: np.ndarray, shard_of: Callable[[np.ndarray, np.ndarray], np.ndarray], shards: int, block: int, head: bytes, always: bool) -> list[tuple[int, int, bytes]]:
+        head = [pack(np.diff(ids, prepend=0)), pack(size.astype(np.int64)), pack(valid.view(np.uint8))]
+        if tagged:
+            head.append(_squeeze(json.dumps(batch.column(2).to_pylist()).encode()))
+        packed = join_parts(head)
+        digest = hashlib.blake2b(packed, digest_size=16)
+        digest.update(np.array([len(t) for t in texts], np.int64))
+        for t in texts:
+            digest.update(t)
+        return digest.digest(), packed
+
+    def postings(key: np.ndarray, d: np.ndarray, shard_of, shards: int, block: bytes, head: bytes, always: bool) -> list[tuple[int, bytes, bytes]]:
         order = np.argsort(key, kind="stable")
         key, d = key[order], d[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -355,15 +381,15 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
     def docs_in(head: bytes) -> int:
         return len(unpack(split_parts(head)[2], np.uint8))
 
-    def as_batch(rows: list[tuple[int, int, bytes]], shards: int, n: int) -> pa.RecordBatch:
-        rows = [(s + shards * (block % n), block, payload) for s, block, payload in rows]
+    def as_batch(rows: list[tuple[int, bytes, bytes]], shards: int, n: int) -> pa.RecordBatch:
+        rows = [(s + shards * (int.from_bytes(block[:6]) % n), block, payload) for s, block, payload in rows]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["shard", "block", "payload"])
+        return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["shard", "block", "payload"])
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in _blocks(batches, 1):
             w, h, d, size = sequences(texts)
-            block, head = header(batch, size)
+            block, head = header(batch, texts, size)
             begins = np.full(len(texts), BEGIN, _U64)
             yield as_batch(postings(np.concatenate([w, begins]), np.concatenate([d, np.arange(len(texts))]), lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, True), layout.word_shards, parts[0])
 
@@ -371,7 +397,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
         table = np.unpackbits(seen).astype(bool) if seen is not None else None
         for batch, texts in _blocks(batches, 1):
             w, h, d, size = sequences(texts)
-            block, head = header(batch, size)
+            block, head = header(batch, texts, size)
             key = bigram_key(h, w)
             if table is not None:
                 keep = np.flatnonzero(table[(key >> _U64(64 - bits)).astype(np.int64)])
@@ -390,9 +416,9 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
         at[at == len(keys)] = 0
         return at, keys[at] == want
 
-    def sums_table(rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
+    def sums_table(rows: list[tuple[bytes, bytes, bytes]]) -> pa.Table:
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.table({"block": pa.array(cols[0], pa.int64()), "head": pa.array(cols[1], pa.binary()), "sums": pa.array(cols[2], pa.binary())})
+        return pa.table({"block": pa.array(cols[0], pa.binary()), "head": pa.array(cols[1], pa.binary()), "sums": pa.array(cols[2], pa.binary())})
 
     def word_sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         w, c, n = np.zeros(0, _U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -412,7 +438,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
             head, k, times, d, size = opened(payload)
             at, known = look(w, k)
             zero = np.zeros(len(k), np.int64)
-            cols = value(c[at] * known if len(c) else zero, n[at] * known if len(n) else zero, known)
+            cols = rules.value(c[at] * known if len(c) else zero, n[at] * known if len(n) else zero, known)
             cols[k == _U64(BEGIN)] = 0
             at, has = look(fw, k)
             cols[:, 2] += fb[at] * has if len(fb) else 0
@@ -421,16 +447,19 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
         return sums_table(rows)
 
     def pair_sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, gain = np.zeros(0, _U64), np.zeros(0, np.float32)
+        keys = np.zeros(0, _U64)
         if right.num_rows:
             p = split_parts(right.column("payload")[0].as_py())
-            keys, gain = unpack_sorted(p[0]), np.frombuffer(p[1], np.float32)
+            keys, run, c, f = unpack_sorted(p[0]), unpack(p[1], np.uint32), unpack(p[2], np.int64), unpack(p[3], np.int64)
+            s = np.frombuffer(p[4], np.float64).reshape(int(run.max()) + 1, -1)
         rows = []
         for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist(), strict=True):
             _, k, times, d, size = opened(payload)
             at, known = look(keys, k)
-            v = gain[at].astype(np.float64) * known if len(gain) else np.zeros(len(k))
-            rows.append((block, b"", np.bincount(d, np.repeat(v, times), size).astype(np.float32).tobytes()))
+            at, v = at[known], np.zeros(len(k))
+            if len(at):
+                v[known] = rules.gain(c[at], f[at], s[run[at]])
+            rows.append((block, b"", np.bincount(d, np.repeat(v, times), size).tobytes()))
         return sums_table(rows)
 
     def total(table: pa.Table) -> pa.Table:
@@ -438,23 +467,28 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
         heads = [x for x in table.column("head").to_pylist() if x]
         if not heads:
             raise RuntimeError("the documents were not read in the same blocks twice; write them to a table first")
-        ids, size, valid = (unpack(x, k) for x, k in zip(split_parts(heads[0]), (np.int64, np.int64, np.uint8), strict=True))
+        parts_ = split_parts(heads[0])
+        ids, size, valid = (unpack(x, k) for x, k in zip(parts_, (np.int64, np.int64, np.uint8), strict=False))
         ids = np.cumsum(ids)
         sums = np.zeros((3, len(ids)))
         for x in table.column("sums").to_pylist():
-            if len(x) == 24 * len(ids):
-                sums += np.frombuffer(x, np.float64).reshape(3, -1)
+            got = np.frombuffer(x, np.float64)
+            if len(got) == 3 * len(ids):
+                sums += got.reshape(3, -1)
             else:
-                sums[2] += np.frombuffer(x, np.float32)
+                sums[2] += got
         times = len(heads)
         col = lambda x: np.tile(x, times)
-        return pa.table({"doc_id": pa.array(col(ids), mask=col(valid == 0)), "n_tokens": pa.array(col(size)), "s0": pa.array(col(sums[0] / times)), "s1": pa.array(col(sums[1] / times)), "s2": pa.array(col(sums[2] / times))})
+        out = {"doc_id": pa.array(col(ids), mask=col(valid == 0)), "n_tokens": pa.array(col(size)), "s0": pa.array(col(sums[0] / times)), "s1": pa.array(col(sums[1] / times)), "s2": pa.array(col(sums[2] / times))}
+        if tagged:
+            out["tag"] = pa.array(json.loads(zstandard.ZstdDecompressor().decompress(parts_[3])) * times, pa.string())
+        return pa.table(out)
 
     def copied(table: DataFrame, shards: int, n: int) -> DataFrame:
         return table if n == 1 else table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("shard", (F.col("shard") + shards * F.col("part")).cast("int")).drop("part")
 
-    part = "shard int, block long, payload binary"
-    out = "block long, head binary, sums binary"
+    part = "shard int, block binary, payload binary"
+    out = "block binary, head binary, sums binary"
     stored = words.where("kind = 0").select("kind", "shard", "payload").union(model.where("kind = 1").select("kind", "shard", "payload"))
     by_word = docs.mapInArrow(send_words, part).groupBy("shard").cogroup(copied(stored, layout.word_shards, parts[0]).groupBy("shard")).applyInArrow(word_sums, out)
     by_pair = docs.mapInArrow(send_pairs, part).groupBy("shard").cogroup(copied(model.where("kind = 0").select("shard", "payload"), layout.shards, parts[1]).groupBy("shard")).applyInArrow(pair_sums, out)
@@ -463,10 +497,8 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, v
     by_word = scratch.write(by_word, "sums-words")
     for table in spent:
         scratch.drop(table)
-    scratch.release()
     by_pair = scratch.write(by_pair, "sums-pairs")
-    scratch.release()
-    return by_word.union(by_pair).groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, s0 double, s1 double, s2 double")
+    return by_word.union(by_pair).groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, s0 double, s1 double, s2 double" + (", tag string" if tagged else ""))
 
 
 def fold_of(doc_id: Column, parts: int) -> Column:

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _LOCAL: list[str] = []
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; in local mode, where one machine runs all, a temporary folder if it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="docloom-"))
     return _LOCAL[0]
 
 
+@contextmanager
+def shuffles_end_with_jobs(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries that run inside go when each one ends; what they wrote stays."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 class Scratch:
     """A private folder of written tables.
 
     Writing a table cuts the lineage: a lost executor re-reads files instead of
-    recomputing, and the shuffle files behind the table can go.
+    recomputing, and the shuffle files behind the table go at once.
     """
 
     def __init__(self, spark: SparkSession, label: str):
@@ -41,7 +59,8 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", codec)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path(name))
+        with shuffles_end_with_jobs(self.spark):
+            writer.parquet(self.path(name))
         self._schemas[name] = df.schema
         return self.read(name)
 
@@ -49,13 +68,16 @@ class Scratch:
         """A table written here; its schema is known, so an empty one reads as well."""
         return self.spark.read.schema(self._schemas[name]).parquet(self.path(name))
 
-    def drop(self, name: str) -> None:
-        """Delete a table that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path(name))
+    def _delete(self, path: str) -> None:
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-    def release(self) -> None:
-        """Let Spark's context cleaner remove shuffle files of finished jobs."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+    def drop(self, name: str) -> None:
+        """Delete a table, or one partition of it, that nothing reads any more."""
+        self._delete(self.path(name))
+        self._schemas.pop(name, None)
+
+    def keep(self, *names: str) -> None:
+        """Delete all tables but those that a result still reads."""
+        for name in [n for n in self._schemas if n not in names]:
+            self.drop(name)

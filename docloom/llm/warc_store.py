@@ -73,7 +73,6 @@ class WarcArchive:
         # one copy of each payload leaves each task, one is kept
         self.scratch.write(raw.select("digest", "payload_digest", "payload").groupBy("digest").agg(F.first("payload").alias("payload"), F.min("payload_digest").alias("low"), F.max("payload_digest").alias("high")), "payloads")
         self.scratch.drop("index")
-        self.scratch.release()
         return self
 
     def payloads(self) -> DataFrame:
