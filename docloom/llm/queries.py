@@ -27,7 +27,7 @@ def op1_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return scan(docs, SecretTagger.fit(docs, limit=40_000))
+    return scan(docs, SecretTagger.fit(docs, limit=40_000, sequences=2_000))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    return Raking(fraction=0.5, temper=0.5).draw(docs).select("doc_id", "source", "lang", "topic", "tokens", "probability", "sampled")
+    return Raking(fraction=0.5, temper=0.5).draw(docs, columns=["doc_id", "source", "lang"])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Tokens are runs of word characters or single marks. Each is tagged secret begin,
 inside or outside from its shape, the words around it and features of its file;
-weights come from maximum likelihood on a bounded sample whose labels are the
-pattern spans (distant supervision), with the keyword hidden in part of it so
+weights come from maximum likelihood on a bounded sample of sequences whose labels
+are the pattern spans (distant supervision), with the keyword hidden in part of it so
 that shape and surroundings carry weight too. Decoding is exact Viterbi: tokens
 that no transition could turn away from "outside" split a text into short runs,
 and only those runs are searched.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +36,10 @@ _SHIFTS = (-3, -2, -1, 1)
 _SHAPES = 10 * 12
 _FILES = 4
 _NEVER = -1e6
+#: Tokens of a training sequence before and after a span, and at most.
+_BEFORE, _AFTER, _WIDEST = 24, 8, 128
+#: Training sequences whose marginals are held at a time.
+_TRAIN_BLOCK = 500
 
 _CLASS = np.full(256, 2, np.uint8)
 for _c in b" \t\n\x0b\x0c\r":
@@ -115,6 +120,67 @@ class _Tokens:
         self.file = np.searchsorted([0.0005, 0.005, 0.05], share)[self.doc] if n else np.zeros(0, np.int64)
 
 
+def _tags(tok: _Tokens, lo: int, hi: int, offset: int, text: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Tags of one text's tokens from its pattern spans, and the token ranges of these spans."""
+    tags, ranges = np.zeros(hi - lo, np.uint8), []
+    for s, kind, e in base_spans(text):
+        whole = np.flatnonzero((tok.start[lo:hi] >= s + offset) & (tok.end[lo:hi] <= e + offset))
+        if not len(whole):
+            continue
+        # the secret is the value: of an assignment what its second group holds
+        m = _ASSIGN.match(text, s) if kind == 0 else None
+        inside = whole[tok.start[lo:hi][whole] >= m.start(2) + offset] if m else whole
+        if len(inside):
+            tags[inside] = _I
+            tags[inside[0]] = _B
+            ranges.append((int(whole[0]), int(inside[-1]) + 1))
+    return tags, ranges
+
+
+def _sequences(texts: list[bytes]) -> list[tuple[int, bytes]]:
+    """Training sequences of whole spans with what stands around them (kind 1), and of plain tokens, one a text (kind 0)."""
+    out = []
+    for a, b in chunks(texts):
+        tok = _Tokens(texts[a:b])
+        for i in range(b - a):
+            lo, hi = int(tok.first[i]), int(tok.first[i + 1])
+            tags, ranges = _tags(tok, lo, hi, int(tok.offset[i]), texts[a + i])
+            pieces: list[list[int]] = []
+            for s, e in ranges:
+                if pieces and s - _BEFORE < pieces[-1][1] and e - pieces[-1][0] <= _WIDEST:
+                    pieces[-1][1] = min(e + _AFTER, hi - lo)
+                else:
+                    begin = max(s - _BEFORE, 0, pieces[-1][1] if pieces else 0)
+                    pieces.append([min(begin, s), min(e + _AFTER, hi - lo)])
+            cuts = [(1, s, min(e, s + _WIDEST)) for s, e in pieces]
+            plain = (hi - lo) * (zlib.crc32(texts[a + i]) & 0xFFFF) >> 16  # any place, the same for equal texts
+            end = min([plain + _BEFORE + _AFTER, hi - lo, *(s for s, _ in pieces if s > plain)])
+            if end > plain and not tags[plain:end].any() and not any(s <= plain < e for s, e in pieces):
+                cuts.append((0, plain, end))
+            for kind, s, e in cuts:
+                g = slice(lo + s, lo + e)
+                parts = [tok.shape[g].astype(np.uint8), *(v[g].astype(np.uint16) for v in tok.near), tok.file[g].astype(np.uint8), tags[s:e]]
+                out.append((kind, bytes([s == 0]) + b"".join(x.tobytes() for x in parts)))
+    return out
+
+
+def _block(sample: list[tuple[int, int, bytes]], first: int) -> tuple[np.ndarray, ...]:
+    """Sequences side by side: shapes, words around, file, tags, which tokens are there, and which begin a text."""
+    each = 3 + 2 * len(_SHIFTS)
+    sizes = [(len(p) - 1) // each for _, _, p in sample]
+    wide = max(sizes)
+    S, A, Y, live = (np.zeros((len(sample), wide), k) for k in (np.int64, np.int64, np.int64, float))
+    N = np.zeros((len(sample), len(_SHIFTS), wide), np.int64)
+    for i, ((_, _, p), n) in enumerate(zip(sample, sizes, strict=True)):
+        S[i, :n] = np.frombuffer(p, np.uint8, n, 1)
+        N[i, :, :n] = np.frombuffer(p, np.uint16, len(_SHIFTS) * n, 1 + n).reshape(-1, n)
+        A[i, :n] = np.frombuffer(p, np.uint8, n, 1 + n + 2 * len(_SHIFTS) * n)
+        Y[i, :n] = np.frombuffer(p, np.uint8, n, 1 + 2 * n + 2 * len(_SHIFTS) * n)
+        live[i, :n] = 1
+    N[(first + np.arange(len(sample))) % 3 == 0] = 0  # in a third the words around are hidden
+    return S, N, A, Y, live, np.array([p[0] == 1 for _, _, p in sample])
+
+
 @dataclass(frozen=True)
 class SecretTagger:
     """A fitted tagger: weights of a bounded number of features."""
@@ -126,76 +192,55 @@ class SecretTagger:
     begin: np.ndarray
 
     @staticmethod
-    def fit(docs: DataFrame, limit: int = 40_000, rounds: int = 40, rate: float = 0.5) -> SecretTagger:
+    def fit(docs: DataFrame, limit: int = 40_000, sequences: int = 2_000, rounds: int = 40, rate: float = 0.5) -> SecretTagger:
         """Learn from a sample of at most ``limit`` texts.
 
-        The texts are those of the smallest digests, so neither order nor
-        partitions matter. All with pattern spans and one in sixteen others come
-        to the driver; lines with spans, and some without, are the sequences.
+        The texts are those of the smallest digests, each once, so neither order nor
+        partitions matter. Executors cut sequences out of them: around every pattern
+        span, and one elsewhere a text. Of each sort the ``sequences`` of the smallest
+        digests of their features come to the driver, at most ``_WIDEST`` tokens each.
         """
         text = F.col("text").cast("string")
-        hit = text.rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}")
-        rows = docs.where(F.length(text) > 0).select(text.alias("text"), F.xxhash64(text).alias("h"))
-        picked = F.broadcast(rows.select("h").distinct().orderBy("h").limit(limit))  # a fixed number of digests
-        sample = rows.join(picked, "h", "left_semi").where(F.expr("pmod(h, 16) = 0") | hit).dropDuplicates(["h"])
-        return SecretTagger._learn(sorted({r["text"].encode() for r in sample.collect()}), rounds, rate)
+        rows = docs.where(F.length(text) > 0).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+        picked = F.broadcast(rows.groupBy("h").agg(F.min("doc_id").alias("doc_id")).orderBy("h").limit(limit))  # a fixed number of digests
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = _sequences(as_bytes(batch.column(0)))
+                digest = [int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), signed=True) for _, p in found]
+                yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array(digest, pa.int64()), pa.array([p for _, p in found], pa.binary())], ["kind", "digest", "payload"])
+
+        cuts = rows.join(picked, ["h", "doc_id"], "left_semi").select("text").mapInArrow(cut, "kind int, digest long, payload binary")
+        some = [cuts.where(F.col("kind") == k).orderBy("digest", "payload").limit(sequences).collect() for k in (1, 0)]
+        return SecretTagger._learn(sorted({(r["kind"], r["digest"], bytes(r["payload"])) for part in some for r in part}), rounds, rate)
 
     @staticmethod
-    def _learn(texts: list[bytes], rounds: int, rate: float) -> SecretTagger:
-        sequences = []
-        for a, b in chunks(texts):
-            tok = _Tokens(texts[a:b])
-            for i in range(b - a):
-                lo, hi = tok.first[i], tok.first[i + 1]
-                spans = [(s + tok.offset[i], k, e + tok.offset[i]) for s, k, e in base_spans(texts[a + i])]
-                tags = np.zeros(hi - lo, np.int64)
-                for s, kind, e in spans:
-                    # the secret is the value: of an assignment its last run of value tokens
-                    inside = np.flatnonzero((tok.start[lo:hi] >= s) & (tok.end[lo:hi] <= e))
-                    if kind == 0 and len(inside):
-                        value = texts[a + i].rfind(b" ", 0, e - tok.offset[i])
-                        m = _ASSIGN.match(texts[a + i], s - tok.offset[i])
-                        value = m.start(2) + tok.offset[i] if m else value
-                        inside = inside[tok.start[lo:hi][inside] >= value]
-                    if len(inside):
-                        tags[inside] = _I
-                        tags[inside[0]] = _B
-                step = 48
-                for at in range(0, hi - lo, step):
-                    part = slice(at, min(at + step, hi - lo))
-                    if tags[part].any() or (at // step) % 8 == i % 8:
-                        g = slice(lo + part.start, lo + part.stop)
-                        sequences.append((tok.shape[g], np.stack([v[g] for v in tok.near]), tok.file[g], tags[part]))
-        sequences = [s for s in sequences if s[3].any()][:2000] + [s for s in sequences if not s[3].any()][:2000]
+    def _learn(sample: list[tuple[int, int, bytes]], rounds: int, rate: float) -> SecretTagger:
         shape, near, file = np.zeros((_SHAPES, 3)), np.zeros((len(_SHIFTS), _HASH, 3)), np.zeros((_FILES, 3))
         move, begin = np.zeros((3, 3)), np.zeros(3)
         move[_O, _I] = begin[_I] = _NEVER
         shape[:, _B] = shape[:, _I] = -2.0
         model = SecretTagger(shape, near, file, move, begin)
-        if not sequences or not any(s[3].any() for s in sequences):
+        if not any(kind for kind, _, _ in sample):
             shape[:, _B] = shape[:, _I] = -50.0
             return model
-        width = max(len(s[3]) for s in sequences)
-        pad = lambda x, fill: np.pad(x, [(0, 0)] * (x.ndim - 1) + [(0, width - x.shape[-1])], constant_values=fill)
-        S, N = np.stack([pad(s[0], 0) for s in sequences]), np.stack([pad(s[1], 0) for s in sequences])
-        A, Y = np.stack([pad(s[2], 0) for s in sequences]), np.stack([pad(s[3], 0) for s in sequences])
-        live = np.stack([pad(np.ones(len(s[3])), 0) for s in sequences])
-        hide = np.arange(len(S)) % 3 == 0
-        N = np.where(hide[:, None, None], 0, N)  # in a third the words around are hidden
+        blocks = [_block(sample[i : i + _TRAIN_BLOCK], i) for i in range(0, len(sample), _TRAIN_BLOCK)]
         size = [np.full(x.shape, 1e-3) for x in (shape, near, file, move, begin)]
         for _ in range(rounds):
-            emit = shape[S] + sum(near[k][N[:, k]] for k in range(len(_SHIFTS))) + file[A]
-            post, pairs = _marginals(emit, move, begin, live)
-            gold = np.eye(3)[Y] * live[..., None]
-            diff = gold - post * live[..., None]
-            both = live[:, 1:] * live[:, :-1]
-            gold_pairs = np.einsum("bti,btj,bt->ij", np.eye(3)[Y[:, :-1]], np.eye(3)[Y[:, 1:]], both)
-            grads = [np.zeros_like(x) for x in (shape, near, file)]
-            np.add.at(grads[0], S, diff)
-            for k in range(len(_SHIFTS)):
-                np.add.at(grads[1][k], N[:, k], diff)
-            np.add.at(grads[2], A, diff)
-            grads += [gold_pairs - pairs, diff[:, 0].sum(0)]
+            grads = [np.zeros_like(x) for x in (shape, near, file, move, begin)]
+            for S, N, A, Y, live, fresh in blocks:
+                emit = shape[S] + sum(near[k][N[:, k]] for k in range(len(_SHIFTS))) + file[A]
+                post, pairs = _marginals(emit, move, np.where(fresh[:, None], begin, move[_O]), live)
+                gold = np.eye(3)[Y] * live[..., None]
+                diff = gold - post * live[..., None]
+                both = live[:, 1:] * live[:, :-1]
+                np.add.at(grads[0], S, diff)
+                for k in range(len(_SHIFTS)):
+                    np.add.at(grads[1][k], N[:, k], diff)
+                np.add.at(grads[2], A, diff)
+                grads[3] += np.einsum("bti,btj,bt->ij", np.eye(3)[Y[:, :-1]], np.eye(3)[Y[:, 1:]], both) - pairs
+                grads[3][_O] += diff[~fresh, 0].sum(0)  # what comes before a cut is outside
+                grads[4] += diff[fresh, 0].sum(0)
             for x, g, s in zip((shape, near, file, move, begin), grads, size, strict=True):
                 g -= 0.02 * np.where(np.abs(x) < 100, x, 0)
                 s += g * g

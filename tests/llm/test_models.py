@@ -226,6 +226,19 @@ def test_tagger_finds_and_decodes_exactly(tagger):
     assert not tagger.spans([b"only plain words in this line"])[0]
 
 
+def test_training_sequences_hold_whole_spans():
+    """Each begins outside or with a begin, holds spans uncut, and long texts give only what is near their spans."""
+    secret = b'password = "abc-def.ghi/jkl"'
+    texts = [b"w " * 60 + secret + b" x" * 60, secret, b"plain " * 30, b"", secret + b" y " * 200 + secret]
+    found = secret_crf._sequences(texts)
+    assert [k for k, _ in found].count(1) == 4
+    for kind, p in found:
+        n = (len(p) - 1) // 11
+        tags = np.frombuffer(p, np.uint8, n, 1 + 10 * n)
+        assert n <= 128 and tags[0] != 2 and (tags == 1).sum() == kind and (tags == 2).sum() == 6 * kind
+        assert not any(tags[i] == 2 and tags[i - 1] == 0 for i in range(1, n))
+
+
 def test_gradient_is_of_the_likelihood():
     """Posteriors and expected transitions of forward-backward against enumeration."""
     r = np.random.default_rng(3)

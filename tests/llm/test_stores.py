@@ -71,19 +71,21 @@ def test_raking_meets_targets(spark, docs, empty):
     want = {"source": {"big": 0.4, "s1": 0.3, "s2": 0.3, "absent": 5.0}, "lang": {"en": 0.4, "de": 0.3, "(null)": 0.3}}
     rake = Raking(fraction=0.2, targets=want)
     scratch = Scratch(spark, "t")
-    cells = rake.cells(df).groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens"))
-    w = rake.weights(scratch.write(cells, "cells"), scratch).toPandas()
-    # brute force on the cells
-    x = w.tokens.to_numpy(float)
-    topic = w.groupby("_topic").tokens.sum() ** 0.5
-    goals = [("_source", {"big": 0.4, "s1": 0.3, "s2": 0.3}), ("_lang", want["lang"]), ("_topic", (topic / topic.sum()).to_dict())]
-    for _ in range(200):
+    out = rake.draw(df, scratch).toPandas()
+    cells = out.assign(lang=out.lang.fillna("(null)")).groupby(["source", "lang", "topic"]).agg(tokens=("tokens", "sum"), p=("probability", "first")).reset_index()
+    # brute force on the cells: nothing is exhausted, so plain raking
+    x = cells.tokens.to_numpy(float)
+    topic = cells.groupby("topic").tokens.sum() ** 0.5
+    goals = [("source", {"big": 0.4, "s1": 0.3, "s2": 0.3}), ("lang", want["lang"]), ("topic", (topic / topic.sum()).to_dict())]
+    for _ in range(300):
         for col, goal in goals:
             for k, g in goal.items():
-                at = (w[col] == k).to_numpy()
-                x[at] *= g / x[at].sum()
-    assert w.w.to_numpy() == pytest.approx(x, rel=1e-4)
-    out = rake.draw(df).toPandas()
+                at = (cells[col] == k).to_numpy()
+                x[at] *= 0.2 * cells.tokens.sum() * g / x[at].sum()
+    assert (x < cells.tokens).all()
+    assert (cells.tokens * cells.p).to_numpy() == pytest.approx(x, rel=1e-4)
+    told = rake.margins(scratch).toPandas()
+    assert told.expected.to_numpy() == pytest.approx(told.target.to_numpy(), rel=1e-5)
     assert (out.tokens * out.probability).sum() == pytest.approx(0.2 * out.tokens.sum(), rel=1e-6)
     got = (out.tokens * out.probability).groupby(out.source).sum()
     assert (got / got.sum())["big"] == pytest.approx(0.4 / 1.0, abs=0.02)
@@ -95,6 +97,23 @@ def test_raking_meets_targets(spark, docs, empty):
     assert drawn.count() == docs.count() and drawn.where("tokens = 0 and sampled").count() == 0 and set(drawn.columns) == set(docs.columns) | {"tokens", "topic", "probability", "sampled"}
 
 
+def test_raking_where_cells_are_exhausted(spark):
+    """A source with less than its share gives all it has, cells that are full are raked around, and a topic column is used."""
+    rows = [(i, "w " * 5, "en" if i % 4 else "de", "rare" if i < 30 else ("a", "b")[i % 2], "t1" if i % 3 else None) for i in range(1200)] + [(None, "x y", "en", "a", "t1"), (None, "z", "xx", "a", "t1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    rake = Raking(fraction=0.5, targets={"source": {"rare": 0.4, "a": 0.3, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}}, topic="topic", rounds=100)
+    scratch = Scratch(spark, "t")
+    out = rake.draw(df, scratch).toPandas()
+    assert (out[out.source == "rare"].probability > 0.999).all() and (out[out.lang == "xx"].probability == 0).all()
+    told = rake.margins(scratch).toPandas()
+    assert told.expected.to_numpy() == pytest.approx(told.target.to_numpy(), rel=1e-4)
+    budget = 0.5 * out.tokens.sum()
+    assert told.groupby("margin").target.sum().to_numpy() == pytest.approx([budget] * 3, rel=1e-6)
+    side = told.set_index("name").target
+    assert side["rare"] == 150 and side["a"] == pytest.approx(side["b"]) and set(out.topic) == {"t1", "(null)"}
+    assert (out.tokens * out.probability).sum() == pytest.approx(budget, rel=1e-4) and len(out) == len(rows)
+
+
 def test_topics(spark):
     rows = [("",), ("a | b | c | d",), ("x** y&& z##",), ("LOUD WORDS",), ("short note",), ("long prose " * 60,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(topic_of(F.col("t"))).collect()]
