@@ -95,21 +95,46 @@ class WarcArchive:
     @staticmethod
     def field(name: str) -> Column:
         """A named field of a record's head."""
-        found = F.regexp_extract(F.decode("head", "UTF-8"), rf"\r\n{name}: ([^\r]*)\r\n", 1)
-        return F.when(found != "", found)
+        return _field(F.decode("head", "UTF-8"), name)
+
+
+def _field(head: Column, name: str) -> Column:
+    found = F.regexp_extract(head, rf"\r\n{name}: ([^\r]*)\r\n", 1)
+    return F.when(found != "", found)
+
+
+def parse_records(records: DataFrame, column: str) -> DataFrame:
+    """Reads whole WARC records (bytes): adds ``head`` (text) and ``body``, the payload that the record itself holds.
+
+    A record whose lengths or ends don't fit stops the query.
+    """
+    end = "\r\n\r\n"
+    out = records.withColumn("_s", F.decode(F.col(column), "ISO-8859-1"))  # a character a byte
+    out = out.withColumn("_at", F.instr("_s", end)).withColumn("_head", F.substring("_s", F.lit(1), F.col("_at") + 3))
+    out = out.withColumn("_size", _field(F.col("_head"), "Content-Length").try_cast("int"))
+    out = out.withColumn("_block", F.substring("_s", F.col("_at") + 4, F.col("_size"))).withColumn("_http", F.instr("_block", end))
+    sound = F.col("_s").startswith("WARC/1.1\r\n") & (F.col("_at") > 0) & (F.col("_http") > 0) & (F.length("_s") == F.col("_at") + 3 + F.col("_size") + 4) & F.col("_s").endswith(end)
+    body = F.encode(F.substring("_block", F.col("_http") + 4, F.length("_block")), "ISO-8859-1")
+    checked = F.when(F.coalesce(sound, F.lit(False)), body).otherwise(F.raise_error(F.lit("damaged record")).cast("binary"))
+    head = F.decode(F.encode("_head", "ISO-8859-1"), "UTF-8")
+    return out.withColumns({"head": head, "body": checked}).drop("_s", "_at", "_head", "_size", "_block", "_http")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """Write an archive of the pages, read it back, and tell of each record what came back."""
+    """Write an archive of the pages, put its records together, read them as WARC, and tell of each what came back."""
     archive = WarcArchive(Scratch(spark, "warc")).write(pages)
-    refers = F.regexp_extract(WarcArchive.field("WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1)
-    back = archive.records().select(
+    back = parse_records(archive.records().select("page_id", "payload", WarcArchive.warc_bytes().alias("record")), "record")
+    kind = _field(F.col("head"), "WARC-Type")
+    # a revisit's payload is the one it names, which the join has brought
+    back = back.withColumn("record_type", kind).withColumn("_full", F.when(F.col("record_type") == "revisit", F.col("payload")).otherwise(F.col("body")))
+    refers = F.regexp_extract(_field(F.col("head"), "WARC-Refers-To"), r"<urn:page:(-?\d+)>", 1)
+    back = back.select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
-        F.sha1("payload").alias("payload_digest"),
-        WarcArchive.field("WARC-Type").alias("record_type"),
+        F.octet_length("_full").cast("long").alias("payload_bytes"),
+        F.sha1("_full").alias("payload_digest"),
+        "record_type",
         F.when(refers != "", refers.try_cast("long")).alias("refers_to"),
-        WarcArchive.field("WARC-Payload-Digest").alias("_said"),
+        _field(F.col("head"), "WARC-Payload-Digest").alias("_said"),
     )
     same = F.col("_said") == F.concat(F.lit("sha1:"), "payload_digest")
     return back.withColumn("payload_digest", F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("digest in head differs")).cast("string"))).drop("_said")

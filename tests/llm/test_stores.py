@@ -38,6 +38,20 @@ def test_archive(spark):
     assert round_trip(spark, pages.where("page_id > 99")).count() == 0
 
 
+def test_records_are_parsed_from_bytes(spark):
+    """Whole records come back by their own lengths, whatever bytes they hold; cut or longer ones stop the query."""
+    from docloom.llm.warc_store import parse_records
+
+    pages = spark.createDataFrame([(1, "http://a/é b", "one\r\n\r\ntwo é"), (2, None, "")], "page_id long, url string, html string")
+    made = WarcArchive(Scratch(spark, "t")).write(pages).records().select("page_id", "payload", WarcArchive.warc_bytes().alias("record"))
+    got = {r["page_id"]: r for r in parse_records(made, "record").collect()}
+    assert bytes(got[1]["body"]).decode() == "one\r\n\r\ntwo é" and bytes(got[2]["body"]) == b""
+    assert "WARC-Target-URI: http://a/é%20b\r\n" in got[1]["head"]
+    for broken in (F.substring("record", 1, 300), F.concat("record", F.lit(b"x")), F.lit(b"")):
+        with pytest.raises(Exception, match="damaged record"):
+            parse_records(made.withColumn("record", broken), "record").collect()
+
+
 def test_damage_is_seen(spark, tmp_path):
     scratch = Scratch(spark, "t")
     archive = WarcArchive(scratch).write(spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string"))
