@@ -13,9 +13,12 @@ Work is linear in the pieces. Each set is first tested against the smallest one
 that it shares a piece with; components of the links found so make nearly all
 other pairs of a group needless. Sets outside a piece's largest component are
 then tested against one member of it, and what pairs of different components
-still share a piece are tested last, in bounded blocks whose sketches are
-compared in memory, so that only near pairs become rows. So no group is expanded into
-its pairs, and no link is lost.
+still share a piece are tested last. Every pair's sketches of about a bit a
+shingle are compared before its sets are read. A piece that very many unlinked
+sets share is first split by further cuts of the same sets, under each of which
+linked ones agree again; what remains meets in bounded blocks whose sketches are
+compared in memory, so that only near pairs become rows. So no group is expanded
+into its pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .components import components, merged
+from .lookups import lookup
 from .storage import Scratch
 from .textkit import as_bytes, chunks, mix, shingle_sets
 
@@ -40,6 +44,8 @@ BROADCAST_IDS = 2_000_000
 LISTED = 8
 #: Members that meet in one comparison by sketch.
 BLOCK = 256
+#: Members of one piece above which it is split by further cuts; how often at most, and by what factor a cut must lessen the comparisons to be taken.
+SPLIT, LEVELS, GAIN = 4096, 6, 2.0
 
 
 @dataclass(frozen=True)
@@ -122,12 +128,48 @@ def _keys(hashes: np.ndarray, t: Threshold) -> np.ndarray:
     return np.concatenate(out)
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """Parity sketch of one to two bits a shingle; a power of two, so that larger ones fold to smaller ones."""
+    bits = max(64, 1 << int(len(hashes) - 1).bit_length())
+    at = (mix(hashes + np.uint64(0xABCDEF)) & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(sketch: np.ndarray, words: int) -> np.ndarray:
+    while len(sketch) > words:
+        sketch = sketch[: len(sketch) // 2] ^ sketch[len(sketch) // 2 :]
+    return sketch
+
+
+def _sub_keys(width: int, t: Threshold, salt: int):
+    """Keys of every set under one more cut; sets with too many empty pieces keep those too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = as_bytes(batch.column(1))
+            for a, b in chunks(texts, 1 << 20):
+                ids, bands, keys = [], [], []
+                for i, s in zip(batch.column(0).slice(a, b - a).to_pylist(), shingle_sets(texts[a:b], width), strict=True):
+                    for band in _bands_of(len(s), t) if len(s) else ():
+                        pieces, spare = _plan(band, t)
+                        word, check, count = _words(s, pieces, salt)
+                        key = mix(mix(word + np.uint64(salt)) ^ (check + np.arange(pieces, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)))
+                        keep = key if int((count == 0).sum()) > spare else key[count > 0]
+                        keys.append(keep)
+                        ids.append(np.full(len(keep), i, np.int64))
+                        bands.append(np.full(len(keep), band & 63, np.int32))
+                cat = lambda x, k: np.concatenate(x) if x else np.zeros(0, k)
+                yield pa.record_batch([pa.array(cat(ids, np.int64)), pa.array(cat(bands, np.int32)), pa.array(cat(keys, np.uint64).view(np.int64))], ["rep", "band", "sub"])
+
+    return run
+
+
 _PACKED = "shard int, kind int, payload binary"
-_FOUND = "kind int, doc_id long, key long, n long, x1 long, x2 long"
+_FOUND = "kind int, doc_id long, key long, n long, x1 long, x2 long, sketch binary"
 
 
 def _pack(shards: int, width: int, t: Threshold):
-    """Per batch: signatures of all texts, and piece keys of one text of each distinct set.
+    """Per batch: signatures and sketches of all texts, and piece keys of one text of each distinct set.
 
     Keys that several texts of a batch share are known to be shared: those
     members go their own way, and only the smallest is sent to the key's shard,
@@ -150,7 +192,9 @@ def _pack(shards: int, width: int, t: Threshold):
                         k = tuple(sig[i, 1:].tolist())
                         if k not in first or ids[a + i] < ids[a + first[k]]:
                             first[k] = i
-                rows.append((int(mix(np.uint64(ids[a]))) % shards, 2, sig.tobytes()))
+                wide = [_sketch(s) if len(s) else b"" for s in sets]
+                sizes = np.array([len(x) for x in wide], np.int64)
+                rows.append((int(mix(np.uint64(ids[a]))) % shards, 2, np.int64(b - a).tobytes() + sig.tobytes() + sizes.tobytes() + b"".join(wide)))
                 if not first:
                     continue
                 keyed = [(_keys(sets[i], t), ids[a + i]) for i in first.values()]
@@ -166,10 +210,9 @@ def _pack(shards: int, width: int, t: Threshold):
                 keys, owner = keys[head], owner[head]
                 shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                for s in np.flatnonzero(np.diff(cuts)):
-                    part = order[cuts[s] : cuts[s + 1]]
-                    rows.append((int(s), 0, np.stack([keys[part].view(np.int64), owner[part]]).tobytes()))
+                cuts = np.flatnonzero(np.diff(shard[order])) + 1
+                for part in np.split(order, cuts):
+                    rows.append((int(shard[part[0]]), 0, np.stack([keys[part].view(np.int64), owner[part]]).tobytes()))
             if rows:
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "kind", "payload"])
 
@@ -179,7 +222,14 @@ def _pack(shards: int, width: int, t: Threshold):
 def _shared_keys(table: pa.Table) -> pa.Table:
     """Of one shard: members of keys that several batches have, and what only passes through."""
     kinds, payload = table.column("kind").to_pylist(), table.column("payload")
-    sig = [np.frombuffer(payload[i].as_buffer(), np.int64).reshape(-1, 4) for i, k in enumerate(kinds) if k == 2]
+    sig, sketch = [np.zeros((0, 4), np.int64)], []
+    for i, k in enumerate(kinds):
+        if k == 2:
+            raw = payload[i].as_py()
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            sig.append(np.frombuffer(raw, np.int64, 4 * n, 8).reshape(-1, 4))
+            ends = 8 + 40 * n + np.cumsum(np.frombuffer(raw, np.int64, n, 8 + 32 * n))
+            sketch += [raw[x:y] for x, y in zip([8 + 40 * n, *ends[:-1]], ends, strict=True)]
     passed = [np.frombuffer(payload[i].as_buffer(), np.int64).reshape(2, -1) for i, k in enumerate(kinds) if k == 1]
     sent = [np.frombuffer(payload[i].as_buffer(), np.int64).reshape(2, -1) for i, k in enumerate(kinds) if k == 0]
     members = passed
@@ -189,7 +239,7 @@ def _shared_keys(table: pa.Table) -> pa.Table:
         same = both[0, 1:] == both[0, :-1]
         members = passed + [both[:, np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
     m = np.concatenate(members, axis=1) if members else np.zeros((2, 0), np.int64)
-    s = np.concatenate(sig) if sig else np.zeros((0, 4), np.int64)
+    s = np.concatenate(sig)
     a, b = m.shape[1], len(s)
     zero = np.zeros(a, np.int64)
     return pa.table({
@@ -197,17 +247,19 @@ def _shared_keys(table: pa.Table) -> pa.Table:
         "doc_id": pa.array(np.concatenate([m[1], s[:, 0]])),
         "key": pa.array(np.concatenate([m[0], np.zeros(b, np.int64)])),
         "n": pa.array(np.concatenate([zero, s[:, 1]])), "x1": pa.array(np.concatenate([zero, s[:, 2]])), "x2": pa.array(np.concatenate([zero, s[:, 3]])),
+        "sketch": pa.array([None] * a + sketch, pa.binary()),
     })
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of a table's stored size; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Spark's estimate of a table's stored size; where it has none, the texts are measured."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
 def shard_count(df: DataFrame, each: int = 4 << 20) -> int:
     """Shards that grow with the table, about ``each`` stored bytes behind one."""
-    return int(min(max(input_bytes(df) // each, 8), 50_000))
+    return max(input_bytes(df) // each, 8)
 
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -227,19 +279,19 @@ def _sets(width: int):
     return run
 
 
-def _sketches(width: int, t: Threshold):
+def _close(t: Threshold):
+    """Of pairs with sizes and sketches: those that may link."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(1))
-            for a, b in chunks(texts, 4 << 20):
-                ids, band, size, sketch = [], [], [], []
-                for i, s in zip(batch.column(0).slice(a, b - a).to_pylist(), shingle_sets(texts[a:b], width), strict=True):
-                    for k in _bands_of(len(s), t) if len(s) else ():
-                        ids.append(i)
-                        band.append(k & 63)
-                        size.append(len(s))
-                        sketch.append(_words(s, _plan(k, t)[0], 0)[0].tobytes())
-                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(band, pa.int32()), pa.array(size, pa.int64()), pa.array(sketch, pa.binary())], ["doc_id", "band", "size", "sketch"])
+            a, b = np.asarray(batch.column(2)), np.asarray(batch.column(3))
+            keep = np.minimum(a, b) * t.den >= np.maximum(a, b) * t.num
+            most = (a + b) * (t.den - t.num) // (t.den + t.num)
+            for i in np.flatnonzero(keep):
+                x, y = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint64), np.frombuffer(batch.column(5)[i].as_buffer(), np.uint64)
+                w = min(len(x), len(y))
+                keep[i] = int(np.bitwise_count(_folded(x, w) ^ _folded(y, w)).sum()) <= most[i]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -267,8 +319,10 @@ def _block_pairs(t: Threshold):
 
     def run(table: pa.Table) -> pa.Table:
         role, comp = np.asarray(table.column("role")), np.asarray(table.column("comp"))
-        ids, size = np.asarray(table.column("rep")), np.asarray(table.column("size"))
+        ids, size = np.asarray(table.column("rep")), np.asarray(table.column("n"))
         sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
+        words = min(map(len, sketch), default=1)
+        sketch = [_folded(x, words) for x in sketch]
         every, rest = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         us, vs = [], []
         if len(every) and len(rest):
@@ -308,70 +362,96 @@ class JaccardJoin:
         packed = docs.mapInArrow(_pack(shards, self.width, t), _PACKED)
         found = scratch.write(packed.groupBy("shard").applyInArrow(_shared_keys, _FOUND), "found", ("kind",))
         sig = found.where("kind = 2").select("doc_id", "n", "x1", "x2")
-        reps = sig.where("n > 0").groupBy("n", "x1", "x2").agg(F.min("doc_id").alias("rep"))
-        member = scratch.write(sig.join(reps, ["n", "x1", "x2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n"), "member")
+        copies = sig.where("n > 0").groupBy("n", "x1", "x2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
+        copies = scratch.write(copies, "copies")
+        member = scratch.write(lookup(sig, copies, ["n", "x1", "x2"], 32, "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n"), "member")
+        sketch = found.where("kind = 2 and n > 0").select("doc_id", "n", "sketch")
         shared = found.where("kind = 1").select("doc_id", "key").distinct()
         by_key = shared.join(member.select("doc_id", "rep"), "doc_id").select("key", "rep").distinct()
         by_key = scratch.write(by_key, "keys")
         hubs = by_key.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
         star = by_key.join(hubs, "key").groupBy(F.col("rep").alias("u")).agg(F.min("hub").alias("v")).where("u <> v")
         tested = scratch.write(star, "tested-1")
-        links = self._verify(docs, tested, scratch, "links-1")
+        links = self._verify(docs, tested, sketch, scratch, "links-1")
         comp = components(links, scratch, "cc1")
         for k, pairs in ((2, self._second_hubs), (3, self._open_pairs)):
-            open_ = self._mixed(by_key, scratch.write(comp, f"comp-{k}"), scratch, k)
+            comp = scratch.write(comp, f"comp-{k}")
+            placed = by_key.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+            open_ = self._mixed(placed, scratch, f"mixed-{k}")
             if open_.isEmpty():
                 break
-            more = scratch.write(pairs(docs, open_, scratch).distinct().join(tested, ["u", "v"], "left_anti"), f"tested-{k}")
+            more = scratch.write(pairs(docs, open_, sketch, scratch).distinct().join(tested, ["u", "v"], "left_anti"), f"tested-{k}")
             tested = tested.union(more)
-            comp = merged(scratch.read(f"comp-{k}"), self._verify(docs, more, scratch, f"links-{k}"), scratch, f"cc{k}")
-        return member.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").select(
+            comp = merged(comp, self._verify(docs, more, sketch, scratch, f"links-{k}"), scratch, f"cc{k}")
+        comp = scratch.write(comp, "components")
+        scratch.keep("member", "components")
+        return lookup(member, comp.withColumnRenamed("vertex", "rep"), ["rep"], 16, "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id")
         )
 
-    def _verify(self, docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    def _verify(self, docs: DataFrame, pairs: DataFrame, sketch: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+        """Pairs that link: first by sketches, what these leave by the sets themselves."""
+        t = Threshold(self.num, self.den)
+        left = sketch.select(F.col("doc_id").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su"))
+        right = sketch.select(F.col("doc_id").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv"))
+        near = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "su", "sv")
+        near = scratch.write(near.mapInArrow(_close(t), "u long, v long"), f"{name}-near")
+        ids = near.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
         ids = scratch.write(ids, f"{name}-ids")
         sets = scratch.write(_only(docs, ids).mapInArrow(_sets(self.width), "doc_id long, elements binary"), f"{name}-sets")
         left = sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("a"))
         right = sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("b"))
-        joined = pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b")
-        links = scratch.write(joined.mapInArrow(_verified(Threshold(self.num, self.den)), "u long, v long"), name)
+        joined = near.join(left, "u").join(right, "v").select("u", "v", "a", "b")
+        links = scratch.write(joined.mapInArrow(_verified(t), "u long, v long"), name)
         scratch.drop(f"{name}-sets")
         return links
 
     @staticmethod
-    def _mixed(by_key: DataFrame, comp: DataFrame, scratch: Scratch, k: int) -> DataFrame:
+    def _mixed(placed: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         """Members of pieces that several components share, with the piece's largest component and a member of it."""
-        placed = by_key.join(comp.withColumnRenamed("vertex", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
         per = placed.groupBy("key", "comp").agg(F.count("*").alias("c"), F.max("rep").alias("top"))
         mixed = per.groupBy("key").agg(F.sum("c").alias("total"), F.count("*").alias("comps"), F.max("c").alias("most"), F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max_by("top", F.struct("c", "comp")).alias("hub"))
-        return scratch.write(placed.join(mixed.where("comps > 1").drop("comps"), "key"), f"mixed-{k}")
+        return scratch.write(placed.join(mixed.where("comps > 1").drop("comps"), "key"), name)
 
     @staticmethod
-    def _second_hubs(docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    def _second_hubs(docs: DataFrame, rows: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
         """Members outside a piece's largest component against one member of it."""
         return rows.where("comp <> main").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
 
-    def _open_pairs(self, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+    def _split(self, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
+        """The rows, those of pieces with over ``SPLIT`` members regrouped by further cuts of the same sets."""
+        small, t = rows.where(F.col("total") <= SPLIT), Threshold(self.num, self.den)
+        large = rows.where(F.col("total") > SPLIT)
+        for level in range(LEVELS):
+            if large.isEmpty():
+                return small
+            ids = scratch.write(large.select(F.col("rep").alias("doc_id")).distinct(), f"split-ids-{level}")
+            sub = scratch.write(_only(docs, ids).mapInArrow(_sub_keys(self.width, t, _SALTS + level), "rep long, band int, sub long"), f"split-keys-{level}")
+            cut = large.withColumn("band", F.col("key").bitwiseAND(63).cast("int")).join(sub, ["rep", "band"])
+            key = F.xxhash64("key", "sub").bitwiseAND(~63).bitwiseOR(F.col("band").cast("long"))
+            cut = self._mixed(cut.select(key.alias("key"), "rep", "comp").distinct(), scratch, f"split-{level}")
+            before, after = (df.agg(F.sum(F.col("total") - F.col("most"))).first()[0] or 0 for df in (large, cut))
+            if after * GAIN > before:
+                break  # sets so alike that every cut puts them together again
+            small, large = small.unionByName(cut.where(F.col("total") <= SPLIT)), cut.where(F.col("total") > SPLIT)
+        return small.unionByName(large)
+
+    def _open_pairs(self, docs: DataFrame, rows: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
         """All pairs of different components that share a piece."""
+        rows = self._split(docs, rows, scratch)
         rest = rows.where("comp <> main")
         a, b = rows.where(f"total <= {LISTED}").alias("a"), rest.where(f"total <= {LISTED}").alias("b")
         listed = a.join(b, F.col("a.key") == F.col("b.key")).where("a.comp <> b.comp")
         listed = listed.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v"))
         large = rows.where(f"total > {LISTED}")
         if not large.isEmpty():
-            listed = listed.union(self._blocks(docs, large, scratch))
+            listed = listed.union(self._blocks(large, sketch))
         return listed
 
-    def _blocks(self, docs: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
-        t = Threshold(self.num, self.den)
-        ids = rows.select(F.col("rep").alias("doc_id")).distinct()
-        sketch = scratch.write(_only(docs, ids).mapInArrow(_sketches(self.width, t), "doc_id long, band int, size long, sketch binary"), "sketches")
-        rows = rows.withColumn("band", F.col("key").bitwiseAND(63).cast("int"))
+    def _blocks(self, rows: DataFrame, sketch: DataFrame) -> DataFrame:
         rows = rows.withColumn("cols", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("bars", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"))
         place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        every = rows.select("key", "band", "rep", "comp", F.lit(0).alias("role"), place("cols").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("y"))
-        rest = rows.where("comp <> main").select("key", "band", "rep", "comp", F.lit(1).alias("role"), place("bars").alias("y"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
-        laid = every.unionByName(rest).join(sketch.withColumnRenamed("doc_id", "rep"), ["rep", "band"])
-        return laid.groupBy("key", "x", "y").applyInArrow(_block_pairs(t), "u long, v long")
+        every = rows.select("key", "rep", "comp", F.lit(0).alias("role"), place("cols").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("y"))
+        rest = rows.where("comp <> main").select("key", "rep", "comp", F.lit(1).alias("role"), place("bars").alias("y"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
+        laid = every.unionByName(rest).join(sketch.withColumnRenamed("doc_id", "rep"), "rep")
+        return laid.groupBy("key", "x", "y").applyInArrow(_block_pairs(Threshold(self.num, self.den)), "u long, v long")

@@ -119,8 +119,12 @@ def word_shard(w: np.ndarray, shards: int) -> np.ndarray:
     return ((w >> _U64(40)) * _U64(shards) >> _U64(24)).astype(np.int64)
 
 
-def _cuts(sorted_shard: np.ndarray, shards: int) -> np.ndarray:
-    return np.searchsorted(sorted_shard, np.arange(shards + 1))
+def _runs(sorted_shard: np.ndarray) -> list[tuple[int, slice]]:
+    """The shards that are there, and where each stands."""
+    if not len(sorted_shard):
+        return []
+    cuts = [0, *(np.flatnonzero(np.diff(sorted_shard)) + 1).tolist(), len(sorted_shard)]
+    return [(int(sorted_shard[a]), slice(a, b)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -192,8 +196,8 @@ def count_bigrams(texts: DataFrame, layout: Layout) -> DataFrame:
             h, w = h[first], w[first]
             shard = _shard_of(h, w, layout.shards, layout.hot)
             order = np.lexsort((h, shard))
-            h, w, c, cuts = h[order], w[order], c[order], _cuts(shard[order], layout.shards)
-            yield _batch([_row(s, [pack_sorted(h[g]), w[g].tobytes(), pack(c[g].astype(np.uint32))]) for s in range(layout.shards) if cuts[s] < cuts[s + 1] for g in [slice(cuts[s], cuts[s + 1])]])
+            h, w, c = h[order], w[order], c[order]
+            yield _batch([_row(s, [pack_sorted(h[g]), w[g].tobytes(), pack(c[g].astype(np.uint32))]) for s, g in _runs(shard[order])])
 
     def merge(table: pa.Table) -> pa.Table:
         parts = [split_parts(p) for p in table.column("payload").to_pylist()]
@@ -226,8 +230,7 @@ def count_words(bigrams: DataFrame, layout: Layout) -> DataFrame:
             for shard, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 _, w, c = _bigram_row(payload)
                 w, c, n = _sum_by(w, c, np.ones(len(w), np.int64))
-                cuts = _cuts(word_shard(w, layout.word_shards), layout.word_shards)
-                rows = [(u, join_parts([np.int64(shard).tobytes(), pack_sorted(w[g]), pack(c[g]), pack(n[g])])) for u in range(layout.word_shards) if cuts[u] < cuts[u + 1] for g in [slice(cuts[u], cuts[u + 1])]]
+                rows = [(u, join_parts([np.int64(shard).tobytes(), pack_sorted(w[g]), pack(c[g]), pack(n[g])])) for u, g in _runs(word_shard(w, layout.word_shards))]
                 yield _batch(rows)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -328,8 +331,7 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas,
             rows.append((0, int(key[0].as_py()), join_parts([pack_sorted(k[order]), pack(run[order]), pack(c[order]), pack((wc, wn)[rules.second][order]), s.tobytes()])))
             order = np.argsort(first, kind="stable")
             first, back = first[order], back[order]
-            cuts = _cuts(word_shard(first, layout.word_shards), layout.word_shards)
-            rows += [(1, u, join_parts([pack_sorted(first[g]), back[g].tobytes()])) for u in range(layout.word_shards) if cuts[u] < cuts[u + 1] for g in [slice(cuts[u], cuts[u + 1])]]
+            rows += [(1, u, join_parts([pack_sorted(first[g]), back[g].tobytes()])) for u, g in _runs(word_shard(first, layout.word_shards))]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table({"kind": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()), "payload": pa.array(cols[2], pa.binary())})
 
@@ -368,14 +370,14 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         n = np.diff(np.append(at, len(key)))
         shard = shard_of(key[at], order[at])
         by = np.argsort(shard, kind="stable")
-        cuts = _cuts(shard[by], shards)
         kind = np.uint16 if len(d) == 0 or int(d.max()) < 1 << 16 else np.uint32
+        runs = [(s, by[g]) for s, g in _runs(shard[by])]
+        if always and (not runs or runs[0][0] != 0):
+            runs.insert(0, (0, by[:0]))  # the head goes with the first shard
         rows = []
-        for s in range(shards):
-            g = by[cuts[s] : cuts[s + 1]]
-            if len(g) or (always and s == 0):
-                take = np.repeat(at[g] - np.concatenate([[0], np.cumsum(n[g])[:-1]]).astype(np.int64), n[g]) + np.arange(int(n[g].sum())) if len(g) else np.zeros(0, np.int64)
-                rows.append((s, block, join_parts([head if s == 0 and always else b"", pack_sorted(key[at[g]]), pack(n[g].astype(np.uint32)), np.array([np.dtype(kind).itemsize], np.int64).tobytes(), pack(d[take].astype(kind)), np.int64(docs_in(head)).tobytes()])))
+        for s, g in runs:
+            take = np.repeat(at[g] - np.concatenate([[0], np.cumsum(n[g])[:-1]]).astype(np.int64), n[g]) + np.arange(int(n[g].sum())) if len(g) else np.zeros(0, np.int64)
+            rows.append((s, block, join_parts([head if s == 0 and always else b"", pack_sorted(key[at[g]]), pack(n[g].astype(np.uint32)), np.array([np.dtype(kind).itemsize], np.int64).tobytes(), pack(d[take].astype(kind)), np.int64(docs_in(head)).tobytes()])))
         return rows
 
     def docs_in(head: bytes) -> int:

@@ -67,6 +67,63 @@ def test_join_of_nested_sets(spark):
     assert got == classes(rows, 3, 90, 100) and got[3] == (100, 2)
 
 
+def test_split_pieces_lose_nothing(docs, documents, monkeypatch):
+    """Pieces of more than a few members are regrouped by a further cut."""
+    monkeypatch.setattr(jj, "SPLIT", 3)
+    monkeypatch.setattr(jj, "LISTED", 2)
+    monkeypatch.setattr(jj, "LEVELS", 1)
+    monkeypatch.setattr(jj, "GAIN", 0.0)
+    got = {r["doc_id"]: r["component_id"] for r in jj.JaccardJoin(5, 80, 100).classes(docs).collect()}
+    assert got == {i: c for i, (_, c) in classes([(r[0], r[1]) for r in documents], 5, 80, 100).items()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_join_of_shared_passages(spark, seed):
+    """Random texts, many with one passage, some nested, some edited: pieces are shared by chance."""
+    r = random.Random(seed)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows, k = [], 0
+    for i in range(50):
+        w = [f"v{r.randrange(9)}" for _ in range(r.randrange(4, 90))]
+        for _ in range(r.randrange(1, 5)):
+            x = list(w)
+            for _ in range(r.randrange(0, 4)):
+                x[r.randrange(len(x))] = f"e{r.randrange(99)}"
+            x = x[: len(x) - r.randrange(0, 1 + len(x) // 12)]
+            if r.random() < 0.4:
+                x = [*x, passage]
+            rows.append((k, " ".join(x)))
+            k += 1
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, num in ((3, 90), (2, 60)):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in jj.JaccardJoin(width, num, 100).classes(df).collect()}
+        assert got == classes(rows, width, num, 100)
+
+
+def test_folded_sketches_bound_the_difference():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(200):
+        a, b = (np.unique(r.integers(0, 2000, int(r.integers(1, 1500))).astype(np.uint64)) for _ in range(2))
+        x, y = (np.frombuffer(jj._sketch(jj.mix(s)), np.uint64) for s in (a, b))
+        w = min(len(x), len(y))
+        assert int(np.bitwise_count(jj._folded(x, w) ^ jj._folded(y, w)).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_lookup_splits_hot_keys(spark, monkeypatch):
+    from docloom.llm import lookups
+
+    monkeypatch.setattr(lookups, "HOT_SHARE", 3)
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else "hot" if i % 2 else f"k{i % 7}") for i in range(200)], "i long, k string")
+    table = spark.createDataFrame([("hot", 1), ("k0", 2), ("k2", 3)], "k string, v int")
+    want = sorted(map(str, rows.join(table, "k", "left").select("i", "k", "v").collect()))
+    for most in (1 << 20, 0):
+        monkeypatch.setattr(lookups, "BROADCAST_BYTES", most)
+        assert sorted(map(str, lookups.lookup(rows, table, ["k"], 10, "left").select("i", "k", "v").collect())) == want
+
+
 def test_join_of_nothing(empty):
     assert jj.JaccardJoin().classes(empty).count() == 0
 
