@@ -11,6 +11,7 @@ one factor a name. DataFrame operations only.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -21,6 +22,8 @@ from .storage import Scratch
 
 MARGINS = ("source", "lang", "topic")
 _GRID = 64
+#: Names of all margins whose factors the driver may keep between rounds.
+NAMES = 1000
 
 
 def topic_of(text: Column) -> Column:
@@ -108,30 +111,52 @@ class Raking:
         by = reduce(lambda e, m: F.when(F.col("margin") == m, F.lit(scale[m][1])).otherwise(e), scale, F.lit(float(budget)))
         return scratch.write(table.withColumn("target", F.least("has", F.col("want") * by)), "goals")
 
-    def rake(self, goals: DataFrame, scratch: Scratch) -> DataFrame:
-        """Factors ``margin, name, factor``: a cell gives its tokens times its names' factors, or all it has."""
+    def _attached(self, cells: DataFrame, now: dict[str, DataFrame | dict[str, float]]) -> DataFrame:
+        """Cells with their names' factors ``f_source, f_lang, f_topic``: from a literal map, or joined."""
+        for m, factors in now.items():
+            if isinstance(factors, dict):
+                known = F.from_json(F.lit(json.dumps(factors)), "map<string,double>")
+                cells = cells.withColumn(f"f_{m}", known[F.col(f"_{m}")])
+            else:
+                cells = cells.join(factors, f"_{m}")
+        return cells
+
+    def rake(self, goals: DataFrame, scratch: Scratch) -> dict[str, DataFrame | dict[str, float]]:
+        """By margin a factor of each name: a cell gives its tokens times its names' factors, or all it has.
+
+        Each step is one aggregation of the cells. Up to ``NAMES`` names, their
+        factors are kept by the driver; beyond, as a written table a margin.
+        """
         cells = scratch.read("wanted")
-        now = goals.select("margin", "name", F.when(F.col("margin") == MARGINS[0], self.fraction).otherwise(1.0).alias("factor"))
-        last = None
+        kept = goals.count() <= NAMES
+        first = lambda m: self.fraction if m == MARGINS[0] else 1.0
+        goal = {m: goals.where(F.col("margin") == m).select(F.col("name").alias(f"_{m}"), "target") for m in MARGINS}
+        if kept:
+            target = {m: {r[0]: r[1] for r in goal[m].collect()} for m in MARGINS}
+            now = {m: dict.fromkeys(target[m], first(m)) for m in MARGINS}
+        else:
+            now = {m: goal[m].select(f"_{m}", F.lit(first(m)).alias(f"f_{m}")) for m in MARGINS}
+        last, gives = None, F.col("tokens") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")
+        full = gives >= F.col("tokens")
         for k in range(self.rounds):
-            at = {m: now.where(F.col("margin") == m).select(F.col("name").alias(f"_{m}"), F.col("factor").alias(f"f_{m}")) for m in MARGINS}
-            off = []
+            worst = 0.0
             for m in MARGINS:
-                met = reduce(lambda df, n: df.join(at[n], f"_{n}"), MARGINS, cells)
-                gives = F.col("tokens") * F.col("f_source") * F.col("f_lang") * F.col("f_topic")
-                full = gives >= F.col("tokens")
-                sums = met.groupBy(f"_{m}").agg(F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).alias("stuck"), F.sum(F.when(full, 0.0).otherwise(gives)).alias("free"), F.first(f"f_{m}").alias("old"))
-                goal = goals.where(F.col("margin") == m).select(F.col("name").alias(f"_{m}"), "target")
+                sums = self._attached(cells, now).groupBy(f"_{m}").agg(F.sum(F.when(full, F.col("tokens").cast("double")).otherwise(0.0)).alias("stuck"), F.sum(F.when(full, 0.0).otherwise(gives)).alias("free"), F.first(f"f_{m}").alias("old"))
+                if kept:
+                    for name, stuck, free, old in sums.collect():  # NAMES rows at most
+                        want = target[m][name]
+                        now[m][name] = old * ((want - stuck) / free if want > stuck and free > 0 else want / (stuck + free))
+                        worst = max(worst, abs((stuck + free) / want - 1))
+                    continue
                 step = F.when((F.col("target") > F.col("stuck")) & (F.col("free") > 0), (F.col("target") - F.col("stuck")) / F.col("free")).otherwise(F.col("target") / (F.col("stuck") + F.col("free")))
-                new = sums.join(goal, f"_{m}").select(f"_{m}", (F.col("old") * step).alias(f"f_{m}"), F.abs((F.col("stuck") + F.col("free")) / F.col("target") - 1).alias("off"))
-                at[m] = new.drop("off")
-                off.append(new.select(F.lit(m).alias("margin"), F.col(f"_{m}").alias("name"), F.col(f"f_{m}").alias("factor"), "off"))
-            seen = Observation()
-            now = scratch.write(reduce(DataFrame.unionByName, off).observe(seen, F.max("off").alias("worst")).drop("off"), f"factors-{k}")
-            if k:
-                scratch.drop(f"factors-{k - 1}")
-            worst = seen.get["worst"]
-            if worst is None or worst <= self.tolerance or (last is not None and k > 10 and worst > last * 0.999):
+                seen = Observation()
+                off = F.abs((F.col("stuck") + F.col("free")) / F.col("target") - 1)
+                new = sums.join(goal[m], f"_{m}").select(f"_{m}", (F.col("old") * step).alias(f"f_{m}"), off.alias("off")).observe(seen, F.max("off").alias("worst"))
+                now[m] = scratch.write(new, f"factor-{m}-{k}").drop("off")
+                worst = max(worst, seen.get["worst"] or 0.0)
+                if k:
+                    scratch.drop(f"factor-{m}-{k - 1}")
+            if worst <= self.tolerance or (last is not None and k > 10 and worst > last * 0.999):
                 break  # met, or targets that no cells can meet together
             last = worst
         return now
@@ -139,9 +164,7 @@ class Raking:
     def chances(self, cells: DataFrame, scratch: Scratch) -> DataFrame:
         """``_source, _lang, _topic, tokens, p`` of the wanted cells; ``cells`` is a stored table."""
         factors = self.rake(self.goals(cells, scratch), scratch)
-        out = scratch.read("wanted")
-        for m in MARGINS:
-            out = out.join(factors.where(F.col("margin") == m).select(F.col("name").alias(f"_{m}"), F.col("factor").alias(f"f_{m}")), f"_{m}")
+        out = self._attached(scratch.read("wanted"), factors)
         p = F.least(F.lit(1.0), F.col("f_source") * F.col("f_lang") * F.col("f_topic"))
         return scratch.write(out.select("_source", "_lang", "_topic", "tokens", p.alias("p")), "chances")
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm.inner_topk import InnerProductTopK
+from docloom.llm import raking
 from docloom.llm.raking import Raking, topic_of
 from docloom.llm.storage import Scratch
 from docloom.llm.warc_store import WarcArchive, round_trip
@@ -111,21 +112,23 @@ def test_raking_meets_targets(spark, docs, empty):
     assert drawn.count() == docs.count() and drawn.where("tokens = 0 and sampled").count() == 0 and set(drawn.columns) == set(docs.columns) | {"tokens", "topic", "probability", "sampled"}
 
 
-def test_raking_where_cells_are_exhausted(spark):
+@pytest.mark.parametrize("names", [1000, 0])
+def test_raking_where_cells_are_exhausted(spark, monkeypatch, names):
     """A source with less than its share gives all it has, cells that are full are raked around, and a topic column is used."""
+    monkeypatch.setattr(raking, "NAMES", names)
     rows = [(i, "w " * 5, "en" if i % 4 else "de", "rare" if i < 30 else ("a", "b")[i % 2], "t1" if i % 3 else None) for i in range(1200)] + [(None, "x y", "en", "a", "t1"), (None, "z", "xx", "a", "t1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
-    rake = Raking(fraction=0.5, targets={"source": {"rare": 0.4, "a": 0.3, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}}, topic="topic", rounds=100)
+    rake = Raking(fraction=0.5, targets={"source": {"rare": 0.4, "a": 0.3, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}}, topic="topic", rounds=100 if names else 25)
     scratch = Scratch(spark, "t")
     out = rake.draw(df, scratch).toPandas()
-    assert (out[out.source == "rare"].probability > 0.999).all() and (out[out.lang == "xx"].probability == 0).all()
+    assert (out[out.source == "rare"].probability > 0.99).all() and (out[out.lang == "xx"].probability == 0).all()
     told = rake.margins(scratch).toPandas()
-    assert told.expected.to_numpy() == pytest.approx(told.target.to_numpy(), rel=1e-4)
+    assert told.expected.to_numpy() == pytest.approx(told.target.to_numpy(), rel=1e-4 if names else 2e-2)
     budget = 0.5 * out.tokens.sum()
     assert told.groupby("margin").target.sum().to_numpy() == pytest.approx([budget] * 3, rel=1e-6)
     side = told.set_index("name").target
     assert side["rare"] == 150 and side["a"] == pytest.approx(side["b"]) and set(out.topic) == {"t1", "(null)"}
-    assert (out.tokens * out.probability).sum() == pytest.approx(budget, rel=1e-4) and len(out) == len(rows)
+    assert (out.tokens * out.probability).sum() == pytest.approx(budget, rel=1e-2) and len(out) == len(rows)
 
 
 def test_topics(spark):
