@@ -40,7 +40,7 @@ def op4_raking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=8_000)
+    return score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), limit=3_000)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
