@@ -179,8 +179,8 @@ def _pack(shards: int, width: int, t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0), dtype=np.int64)
-            rows: list[tuple[int, int, bytes]] = []
             for a, b in chunks(texts, 4 << 20):
+                rows: list[tuple[int, int, bytes]] = []
                 sets = shingle_sets(texts[a:b], width)
                 sig = np.zeros((b - a, 4), np.int64)
                 first: dict[tuple, int] = {}
@@ -195,15 +195,13 @@ def _pack(shards: int, width: int, t: Threshold):
                 wide = [_sketch(s) if len(s) else b"" for s in sets]
                 sizes = np.array([len(x) for x in wide], np.int64)
                 rows.append((int(mix(np.uint64(ids[a]))) % shards, 2, np.int64(b - a).tobytes() + sig.tobytes() + sizes.tobytes() + b"".join(wide)))
-                if not first:
-                    continue
                 keyed = [(_keys(sets[i], t), ids[a + i]) for i in first.values()]
-                keys = np.concatenate([k for k, _ in keyed])
-                owner = np.repeat(np.array([o for _, o in keyed], np.int64), [len(k) for k, _ in keyed])
+                keys = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in keyed)])
+                owner = np.repeat(np.array([o for _, o in keyed], np.int64), np.array([len(k) for k, _ in keyed], np.int64))
                 order = np.lexsort((owner, keys))
                 keys, owner = keys[order], owner[order]
-                head = np.concatenate([[True], keys[1:] != keys[:-1]])
-                shared = ~head | np.concatenate([~head[1:], [False]])
+                head = np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]
+                shared = ~head | np.concatenate([~head[1:], [False]])[: len(keys)]
                 if shared.any():
                     part = np.stack([keys[shared].view(np.int64), owner[shared]])
                     rows.append((int(mix(np.uint64(ids[a] + 7))) % shards, 1, part.tobytes()))
@@ -211,9 +209,8 @@ def _pack(shards: int, width: int, t: Threshold):
                 shard = (mix(keys) % np.uint64(shards)).astype(np.int64)
                 order = np.argsort(shard, kind="stable")
                 cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                for part in np.split(order, cuts):
+                for part in np.split(order, cuts) if len(order) else ():
                     rows.append((int(shard[part[0]]), 0, np.stack([keys[part].view(np.int64), owner[part]]).tobytes()))
-            if rows:
                 yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["shard", "kind", "payload"])
 
     return run

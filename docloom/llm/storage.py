@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 _LOCAL: list[str] = []
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -27,17 +27,19 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def shuffles_end_with_jobs(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries that run inside go when each one ends; what they wrote stays."""
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def bounded_jobs(spark: SparkSession) -> Iterator[None]:
+    """For the queries that run inside: shuffle files go when each one ends, and batches for Python are small however long texts are."""
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Scratch:
@@ -59,7 +61,7 @@ class Scratch:
         writer = df.write.mode("overwrite").option("compression", codec)
         if partition_by:
             writer = writer.partitionBy(*partition_by)
-        with shuffles_end_with_jobs(self.spark):
+        with bounded_jobs(self.spark):
             writer.parquet(self.path(name))
         self._schemas[name] = df.schema
         return self.read(name)
