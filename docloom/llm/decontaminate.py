@@ -17,12 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import Scratch
 from .textkit import _BLANK, _FOLD, as_bytes, chunks
 
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BITS = 22
+#: Added to diagonals, which may be negative; above any length of an item.
+_SHIFT = 1 << 40
 #: Item text that one pass over the documents holds in memory; more items take more passes.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Pairs of equal grams that are held at a time.
+PAIRS = 1 << 20
 
 
 def fold(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -38,6 +43,12 @@ def fold(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return out[lo:hi], at[lo:hi]
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Distinct columns in order of their rows."""
+    rows = rows[:, np.lexsort(rows[::-1])]
+    return rows[:, np.concatenate([[True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)])] if rows.shape[1] else rows
+
+
 def _grams(buf: np.ndarray, q: int) -> np.ndarray:
     """A 64-bit hash of the q bytes (8 to 16) from each position."""
     n = len(buf) - q + 1
@@ -51,26 +62,34 @@ def _grams(buf: np.ndarray, q: int) -> np.ndarray:
     return x * _K1
 
 
-def banded_edits(a: bytes, b: bytes, low: int, high: int, most: int) -> int:
-    """Fewest edits that turn all of ``a`` into a piece of ``b`` on diagonals ``low..high``; ``most + 1`` if more."""
-    far = most + 1
-    row = {j: 0 for j in range(max(low, 0), min(high, len(b)) + 1)}
-    for i, c in enumerate(a, 1):
-        now: dict[int, int] = {}
-        for j in range(max(i + low, 0), min(i + high, len(b)) + 1):
-            v = row.get(j, far) + 1
-            if j:
-                v = min(v, row.get(j - 1, far) + (b[j - 1] != c), now.get(j - 1, far) + 1)
-            if v < far:
-                now[j] = v
-        if not now:
-            return far
-        row = now
-    return min(row.values(), default=far)
+def locate(a: np.ndarray, b: np.ndarray, low: int, high: int, most: int) -> tuple[int, int, int]:
+    """Fewest edits that turn all of ``a`` into a piece of ``b`` on diagonals ``low..high``, and the shortest such piece's
+    begin and end; ``most + 1, 0, 0`` if there are more."""
+    wide = np.arange(high - low + 1)
+    one, far = 1 << 40, (most + 1) << 40
+    # the cost above, below it how far the begin is from the text's end: least is the latest begin
+    begin = low + wide
+    row = np.where((begin >= 0) & (begin <= len(b)), len(b) - begin, far)
+    padded = np.full(len(b) + len(a) + 2 * len(wide) + abs(low) + abs(high) + 2, -1, np.int64)
+    shift = abs(low) + len(wide)
+    padded[shift : shift + len(b)] = b
+    for i, c in enumerate(a.tolist()):
+        here = padded[shift + low + i : shift + low + i + len(wide)]
+        new = row + np.where(here == c, 0, one)
+        new[here < 0] = far
+        new[:-1] = np.minimum(new[:-1], row[1:] + one)
+        row = np.minimum.accumulate(new - wide * one) + wide * one
+        at = low + wide + i + 1
+        row[(at < 0) | (at > len(b))] = far
+        if row.min() >= far:
+            return most + 1, 0, 0
+    end = int(row.argmin())
+    cost, back = divmod(int(row[end]), one)
+    return (cost, len(b) - back, low + end + len(a)) if cost <= most else (most + 1, 0, 0)
 
 
 def window_edits(item: np.ndarray, text: np.ndarray, starts: np.ndarray, m: int, low: int, high: int, most: int) -> np.ndarray:
-    """``banded_edits`` of the ``m`` bytes of ``item`` from each start (ascending) in ``text``, diagonals counted from the item's begin."""
+    """Edits, as by ``locate``, of the ``m`` bytes of ``item`` from each start (ascending) in ``text``, diagonals counted from the item's begin."""
     out = np.full(len(starts), most + 1)
     wide = np.arange(high - low + 1)
     for a in range(0, len(starts), 4096):
@@ -121,7 +140,7 @@ class _Index:
         keys, begin = np.unique(h[order], return_index=True)
         table = np.zeros(1 << _BITS, bool)
         table[(keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-        return _Index([i for i, _ in items], [t.tobytes() for t in texts], keys, np.append(begin, len(h)), item[order], place[order], table)
+        return _Index([i for i, _ in items], [t.tobytes() for t in texts], keys, np.append(begin, len(h)).astype(np.int32), item[order].astype(np.int32), place[order].astype(np.int32), table)
 
 
 @dataclass(frozen=True)
@@ -165,73 +184,94 @@ class Decontaminator:
             k[k == len(index.keys)] = 0
             real = index.keys[k] == h[at]
             at, k = at[real], k[real]
-            many = index.begin[k + 1] - index.begin[k]
-            total = int(many.sum())
-            if not total:
+            if not len(at):
                 continue
-            slot = np.repeat(index.begin[k] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(total)
-            pos, item, place = np.repeat(at, many), index.item[slot], index.place[slot]
-            doc = np.searchsorted(offset, pos, side="right") - 1
-            # from the document's begin, so that no band spans documents or depends on its neighbours
-            diagonal = pos - offset[doc] - place + (1 << 24)
-            band = diagonal // width
-            near = np.flatnonzero((diagonal - band * width < reach) & (band > 0))
-            hit = np.concatenate([np.arange(total), near])
-            key = np.concatenate([band, band[near] - 1]) + (item[hit].astype(np.int64) << 36)
-            order = np.lexsort((key, doc[hit]))
-            key, hit = key[order], hit[order]
-            doc = doc[hit]
-            head = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]))
-            size = np.diff(np.append(head, len(key)))
+            at_doc = np.searchsorted(offset, at, side="right") - 1
+            group, spot = self._hits(index, k, at_doc, at - offset[at_doc], width, reach)
+            head = np.flatnonzero(np.concatenate([[True], (group[:, 1:] != group[:, :-1]).any(axis=0)]))
+            size = np.diff(np.append(head, group.shape[1]))
             # the lemma's bound for a passage of this item; a document that a leak is known of is done
             least = np.array([self._budget(min(len(t), self.window))[1] for t in index.texts])
-            for g in np.flatnonzero(size >= least[item[hit[head]]]):
-                own = hit[head[g] : head[g] + size[g]]
-                it = int(item[own[0]])
-                first = (int(key[head[g]]) & ((1 << 36) - 1)) * width - (1 << 24)
-                d = int(doc[head[g]])
+            for g in np.flatnonzero(size >= least[group[1, head]]):
+                d, it, band = group[:, head[g]].tolist()
                 if any(x[0] == it for x in out[a + d]):
                     continue
-                found = self._verify(index.texts[it], folded[d][0].tobytes(), np.unique(place[own]), first, width + reach)
+                text, where = folded[d]
+                found = self._verify(index.texts[it], text, spot[head[g] : head[g] + size[g]], band * width - _SHIFT, width + reach)
                 if found:
                     edits, lo, hi = found
-                    where = folded[d][1]
                     out[a + d].append((it, edits, int(where[lo]), int(where[hi - 1]) + 1))
         return out
 
-    def _verify(self, item: bytes, text: bytes, places: np.ndarray, low: int, span: int) -> tuple[int, int, int] | None:
+    @staticmethod
+    def _hits(index: _Index, k: np.ndarray, doc: np.ndarray, at: np.ndarray, width: int, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct places of items, sorted by their group: document, item and diagonal band.
+
+        Diagonals count from the document's begin, so no band spans documents or
+        depends on its neighbours. Grams that repeat in text and item make many pairs;
+        these are made in parts and kept once a place.
+        """
+        many = index.begin[k + 1] - index.begin[k]
+        ends = np.cumsum(many, dtype=np.int64)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + PAIRS, PAIRS), side="left").clip(0, len(k)))
+        parts = [np.zeros((4, 0), np.int64)]
+        for x, y in zip(cuts, [*cuts[1:], len(k)], strict=True):
+            n, total = many[x:y].astype(np.int64), int(many[x:y].sum())
+            if not total:
+                continue
+            slot = np.repeat(index.begin[k[x:y]] - (np.cumsum(n) - n), n) + np.arange(total)
+            place = index.place[slot].astype(np.int64)
+            diagonal = np.repeat(at[x:y], n) - place + _SHIFT
+            band = diagonal // width
+            rows = np.stack([np.repeat(doc[x:y], n), index.item[slot].astype(np.int64), band, place])
+            near = rows[:, (diagonal - band * width < reach) & (band > 0)]
+            near[2] -= 1  # bands overlap
+            parts.append(_distinct(np.concatenate([rows, near], axis=1)))
+        rows = _distinct(np.concatenate(parts, axis=1))
+        return rows[:3], rows[3]
+
+    def _verify(self, item: bytes, text: np.ndarray, places: np.ndarray, low: int, span: int) -> tuple[int, int, int] | None:
+        """Edits, begin and end of the best passage in the text on ``span`` diagonals from ``low`` on."""
         m = min(len(item), self.window)
         k, least = self._budget(m)
         starts = np.arange(len(item) - m + 1)
         shared = np.searchsorted(places, starts + m - self.q, side="right") - np.searchsorted(places, starts)
         for s in np.flatnonzero(shared == m - self.q + 1).tolist():
-            at = text.find(item[s : s + m], max(0, s + low - k), max(0, s + low + span + m + k))
+            begin = max(0, s + low - k)
+            at = text[begin : max(0, s + low + span + m + k)].tobytes().find(item[s : s + m])
             if at >= 0:
-                return 0, at, at + m
+                return 0, begin + at, begin + at + m
         starts = starts[shared >= least]
         if not len(starts):
             return None
-        edits = window_edits(np.frombuffer(item, np.uint8), np.frombuffer(text, np.uint8), starts, m, low - k, low + span + k, k)
+        raw = np.frombuffer(item, np.uint8)
+        edits = window_edits(raw, text, starts, m, low - k, low + span + k, k)
         best = int(edits.argmin())
+        if edits[best] > k:
+            return None
         s = int(starts[best])
-        lo, hi = max(0, s + low - k), min(len(text), s + low + span + m + k)
-        return (int(edits[best]), lo, hi) if edits[best] <= k and hi > lo else None
+        found = locate(raw[s : s + m], text, s + low - k, s + low + span + k, k)
+        return found if found[0] <= k and found[2] > found[1] else None
 
-    def _indexes(self, items: DataFrame) -> Iterator[_Index]:
-        """Items in blocks of bounded text; a block that hashing made too large is cut further."""
+    def _blocks(self, items: DataFrame) -> tuple[DataFrame, int]:
+        """Distinct usable items, and the number of passes that bounded memory takes."""
         rows = items.where("item_id is not null and length(text) > 0").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        blocks = max(1, -(-total // BLOCK_BYTES))
+        return rows, max(1, -(-total // BLOCK_BYTES))
+
+    def _indexes(self, items: DataFrame) -> Iterator[tuple[_Index, bool]]:
+        """Items in blocks of bounded text, one index at a time, and whether there are more."""
+        rows, blocks = self._blocks(items)
         for b in range(blocks):
             part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-            yield _Index.build([(r["item_id"], r["text"].encode()) for r in part], self.q)
+            yield _Index.build([(r["item_id"], r["text"].encode()) for r in part], self.q), blocks > 1
 
     def leaks(self, docs: DataFrame, items: DataFrame) -> DataFrame:
         """``doc_id, item_id, edits, start_byte, end_byte`` of each document and item found in it."""
         schema = "doc_id long, item_id long, edits int, start_byte long, end_byte long"
         docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        out = None
-        for index in self._indexes(items):
+        scratch, out = Scratch(docs.sparkSession, "leaks"), None
+        for n, (index, more) in enumerate(self._indexes(items)):
 
             def run(batches: Iterator[pa.RecordBatch], index: _Index = index) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -243,13 +283,15 @@ class Decontaminator:
                     yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "item_id", "edits", "start_byte", "end_byte"])
 
             part = docs.mapInArrow(run, schema)
+            if more:  # so that no two indexes are alive
+                part = scratch.write(part, f"pass-{n}")
             out = part if out is None else out.union(part)
         return out
 
     def clean(self, docs: DataFrame, items: DataFrame) -> DataFrame:
         """The rows without any passage, all columns as they are; nothing is shuffled."""
-        at = docs.columns.index("text")
-        for index in self._indexes(items):
+        at, scratch = docs.columns.index("text"), Scratch(docs.sparkSession, "clean")
+        for n, (index, more) in enumerate(self._indexes(items)):
 
             def run(batches: Iterator[pa.RecordBatch], index: _Index = index) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
@@ -257,4 +299,8 @@ class Decontaminator:
                     yield batch.filter(pa.array(keep, pa.bool_()))
 
             docs = docs.mapInArrow(run, docs.schema)
+            if more:
+                docs = scratch.write(docs, f"pass-{n}")
+                if n:
+                    scratch.drop(f"pass-{n - 1}")
         return docs

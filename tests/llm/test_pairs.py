@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm import jaccard_join as jj
 from docloom.llm.components import components
-from docloom.llm.decontaminate import Decontaminator, banded_edits, fold, window_edits
+from docloom.llm.decontaminate import Decontaminator, fold, locate, window_edits
 from docloom.llm.storage import Scratch
 
 FOLD = {c: c + 32 for c in range(65, 91)}
@@ -184,13 +184,60 @@ def edits_within(a, b):
     return min(row)
 
 
-def test_banded_edits():
+def test_locate():
+    import numpy as np
+
     r = random.Random(4)
-    for _ in range(200):
+    array = lambda x: np.frombuffer(x, np.uint8)
+    for _ in range(300):
         a = bytes(r.choice(b"ab") for _ in range(r.randrange(1, 12)))
         b = bytes(r.choice(b"ab") for _ in range(r.randrange(1, 14)))
+        cost, lo, hi = locate(array(a), array(b), -20, 20, 5)
         want = edits_within(a, b)
-        assert banded_edits(a, b, -20, 20, 5) == min(want, 6)
+        assert cost == min(want, 6)
+        if cost < 6:  # the piece told is one of that many edits
+            row = list(range(hi - lo + 1))
+            for i, c in enumerate(a, 1):
+                new = [i]
+                for j, d in enumerate(b[lo:hi], 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+                row = new
+            assert row[-1] == cost
+
+
+def test_leaks_equal_brute_force(monkeypatch):
+    """Random texts side by side, with pieces of items in them, whole, cut, edited and run over by repeats: every window against every text."""
+    from docloom.llm import decontaminate
+    from docloom.llm.decontaminate import _Index
+
+    monkeypatch.setattr(decontaminate, "PAIRS", 500)
+    r = random.Random(21)
+    some = lambda n, of=b"abcdefgh ": bytes(r.choice(of) for _ in range(n))
+    items = [(1, some(60)), (2, some(45)), (3, b"z" * 50), (4, (b"xyxy" * 20)[:64])]
+    d = Decontaminator(q=8, window=30, rate=0.07)
+    index = _Index.build(items, 8)
+    texts = []
+    for i in range(60):
+        _, item = items[r.randrange(4)]
+        n = r.randrange(20, 46)
+        s = r.randrange(0, max(1, len(item) - n))
+        piece = bytearray(item[s : s + n])
+        for _ in range(r.randrange(0, 5)):
+            at = r.randrange(len(piece))
+            piece[at : at + r.randrange(2)] = some(r.randrange(2))
+        texts.append(some(r.randrange(0, 50)) + bytes(piece) + some(r.randrange(0, 50)))
+    texts += [b"", b"z" * 3000, b"xy" * 900, b" ".join(texts[:3])]
+    for text, found in zip(texts, d._leaks(texts, index), strict=True):
+        plain = fold(text)[0].tobytes()
+        want = {}
+        for it, t in enumerate(index.texts):
+            best = min(edits_within(t[s : s + 30], plain) for s in range(len(t) - 29))
+            if best <= 2:
+                want[it] = best
+        assert {x[0] for x in found} == set(want)
+        for it, edits, lo, hi in found:
+            inner = fold(b"#" + text[lo:hi] + b"#")[0].tobytes()[1:-1]  # blanks at the ends count
+            assert edits <= 2 and min(edits_within(index.texts[it][s : s + 30], inner) for s in range(len(index.texts[it]) - 29)) <= 2
 
 
 def test_decontaminate(spark, docs, documents, empty):
@@ -258,6 +305,8 @@ def test_many_item_blocks(spark, docs, monkeypatch):
     want = {tuple(r) for r in Decontaminator().leaks(docs, items).collect()}
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 400)
     assert {tuple(r) for r in Decontaminator().leaks(docs, items).collect()} == want and want
+    few = Decontaminator().clean(docs, items)
+    assert few.columns == docs.columns and few.count() == docs.count() - docs.join(spark.createDataFrame([(x[0],) for x in want], "doc_id long").distinct(), "doc_id").count()
 
 
 def test_fold():
