@@ -14,11 +14,11 @@ from .operators.csv_export import CsvColumn, to_csv
 from .operators.documents import collect_keys, document_json, flatten, flatten_rows, is_empty_value, remove_nulls, row_keys, strip_empty
 from .operators.extract import extract_field, has_field, omit_keys, pick_keys
 from .operators.filters import exclude_keys, hide_if, include_keys, is_empty_array, is_empty_object, is_empty_string, is_falsy, is_null, is_nullish, removed_paths
-from .operators.json_schema import json_schema, json_schema_text
+from .operators.json_schema import json_schema, json_schema_from_samples, json_schema_text
 from .operators.query import Query, all_of, from_, path_predicate
 from .operators.search import get_all, get_first, keyword_hit, query_path, query_rows, search, search_any
 from .operators.sections import Sections, flatten_sections, humanize, merge_sections
-from .operators.security import mask_by_pattern, mask_sensitive, redact_keys, safe_clone
+from .operators.security import mask_by_pattern, mask_by_pattern_audited, mask_sensitive, redact_keys, safe_clone
 from .operators.structure import array_to_object, compact_sparse, deep_equal, deep_merge, merge_deep, normalize_keys, object_to_array, parse_flat_key, pivot_structure, remap, unflatten
 from .operators.values import apply_defaults, inject_computed, transform_values
 from .sources.parse import configure, deep_safe_parse, read_documents, safe_parse, safe_parse_typed
@@ -38,6 +38,10 @@ def exclude_keys_direct(df: DataFrame, patterns: list[str], **options) -> DataFr
     return exclude_keys(df, patterns, **options)[0]
 
 
+# forms without a report: these give the table itself already
+include_keys_direct, hide_if_direct, strip_empty_direct, mask_by_pattern_direct, safe_clone_direct, remap_direct = include_keys, hide_if, strip_empty, mask_by_pattern, safe_clone, remap
+
+
 def mask_sensitive_direct(df: DataFrame, *args, **options) -> DataFrame:
     return mask_sensitive(df, *args, **options).df
 

@@ -54,9 +54,11 @@ class Csv:
 
     def write(self, path: str, **options) -> None:
         """One text file a partition, each with the header first, so that nothing passes through one task."""
-        with_header = self.lines.select("line")
-        writer = with_header.write.options(lineSep=self.line_break, **options)
-        writer.text(path)
+        lines = self.lines.select("line")
+        if self.header is not None:
+            first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0  # the low bits count a partition's rows
+            lines = lines.select(F.when(first, F.concat(F.lit(self.header + self.line_break), "line")).otherwise(F.col("line")).alias("line"))
+        lines.write.options(lineSep=self.line_break, **options).text(path)
 
 
 def to_csv(df: DataFrame, columns: list[CsvColumn | str] | None = None, keep: list[str] = (), delimiter: str = ",", quote: str = '"', header: bool = True, humanize_headers: bool = False, prevent_injection: bool = True, flat: bool = True, line_break: str = "\n") -> Csv:

@@ -27,19 +27,19 @@ def _getter(name: str):
 class _Place:
     """A place in the documents: all its values of a row as one array, and their types."""
 
-    def __init__(self, name: str, values: Column, kind: T.DataType, depth: int):
+    def __init__(self, name: str, values: Column, kind: T.DataType, depth: int, most: int = MAX_DEPTH, merge: bool = True):
         self.name, self.values, self.kind, self.depth = name, values, kind, depth
         self.fields: dict[str, _Place] = {}
         self.items: _Place | None = None
         kept = F.filter(values, lambda x: x.isNotNull())
-        if depth > MAX_DEPTH:
+        if depth > most:
             return
         if isinstance(kind, T.StructType):
             for f in kind.fields:
                 if not is_unsafe(f.name):
-                    self.fields[f.name] = _Place(f"{name}.{f.name}", F.transform(kept, _getter(f.name)), f.dataType, depth + 1)
+                    self.fields[f.name] = _Place(f"{name}.{f.name}", F.transform(kept, _getter(f.name)), f.dataType, depth + 1, most, merge)
         elif is_array(kind):
-            self.items = _Place(f"{name}[]", F.flatten(kept), kind.elementType, depth + 1)
+            self.items = _Place(f"{name}[]", F.flatten(kept if merge else F.transform(kept, lambda x: F.slice(x, 1, 1))), kind.elementType, depth + 1, most, merge)
 
     def tests(self) -> list[tuple[str, Column]]:
         """Each type the place can show, and how many of a row's values show it."""
@@ -58,15 +58,17 @@ class _Place:
         return [self, *below]
 
 
-def json_schema(df: DataFrame, draft: str = "draft-07", required: bool = True, title: str | None = None, description: str | None = None, strict: bool = False, examples: bool = False) -> dict:
+def json_schema(df: DataFrame, draft: str = "draft-07", required: bool = False, title: str | None = None, description: str | None = None, strict: bool = False, examples: bool = False, merge_array_items: bool = True, max_depth: int = MAX_DEPTH, infer_formats: bool = True) -> dict:
     """A schema that all rows meet, merged as if document by document.
 
     Types that differ at a place become a list in order of appearance, and what
-    is below it goes. A key is required if no object lacks it or has it null.
+    is below it goes. With ``required``, a key is listed if no object lacks it or has it null.
     Formats, examples and closed objects are only told where one value was seen.
+    Without ``merge_array_items`` an array's first item stands for all; below
+    ``max_depth`` nothing is told.
     """
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    root = _Place("$", F.array(row), df.schema, 0)
+    root = _Place("$", F.array(row), df.schema, 0, max_depth, merge_array_items)
     places = root.all()
     seen = df.select(F.monotonically_increasing_id().alias("__at"), *[F.struct(*[c.alias(t) for t, c in p.tests()], F.get(F.filter(p.values, lambda x: x.isNotNull()), F.lit(0)).alias("__one")).alias(f"p{i}") for i, p in enumerate(places)])
     aggs = []
@@ -83,6 +85,8 @@ def json_schema(df: DataFrame, draft: str = "draft-07", required: bool = True, t
         return [t for _, _, t in sorted((got[f"f{i}_{t}"], t == "null", t) for t, _ in p.tests() if got[f"n{i}_{t}"])]
 
     def build(p: _Place) -> dict:
+        if p.depth > max_depth:
+            return {}
         found, i = types(p), at[id(p)]
         count = sum(got[f"n{i}_{t}"] or 0 for t, _ in p.tests())
         if not found:
@@ -102,7 +106,7 @@ def json_schema(df: DataFrame, draft: str = "draft-07", required: bool = True, t
             out["items"] = build(p.items) if p.items else {}
         elif count == 1:
             one = got.get(f"one{i}")
-            if t == "string" and isinstance(one, str):
+            if t == "string" and infer_formats and isinstance(one, str):
                 import re
 
                 name = next((n for n, r in FORMATS if re.search(r, one)), None)
@@ -121,6 +125,12 @@ def json_schema(df: DataFrame, draft: str = "draft-07", required: bool = True, t
     return {**head, **body}
 
 
+def json_schema_from_samples(df: DataFrame, required: bool = False, **options) -> dict:
+    """The schema of sample documents, one a row; of none that of an empty object."""
+    out = json_schema(df, required=required, **options)
+    return out if "type" in out else {**out, "type": "object", "properties": {}}
+
+
 def json_schema_text(df: DataFrame, **options) -> str:
     return json.dumps(json_schema(df, **options), default=str)
 

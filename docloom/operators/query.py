@@ -66,7 +66,7 @@ def compare(col: Column, kind: T.DataType, op: str, value: object) -> Column:
         test = {"gt": col > value, "gte": col >= value, "lt": col < value, "lte": col <= value}[op]
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             test = test & ~F.isnan(col)  # Spark holds NaN above all numbers
-        return F.coalesce(test, F.lit(False)) if isinstance(kind, T.VariantType) else test
+        return col.isNotNull() & test  # false, not null, where it is missing; both parts reach the scan
     if op == "in":
         if not isinstance(value, (list, tuple, set)):
             return F.lit(False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -19,11 +20,23 @@ AUDIT = "array<struct<path:string,key:string,action:string,mode:string,category:
 
 @dataclass
 class Masked:
-    """A table, and columns that tell of each row what was done."""
+    """A table, and an audit of what was done to each row, a column over the table as it came."""
 
     df: DataFrame
     audit: Column
     paths: list[str] = field(default_factory=list)
+    again: Callable[[Column, str], DataFrame] | None = None
+
+    def audited(self, name: str = "audit") -> DataFrame:
+        """The table with its audit beside it, both from one pass."""
+        return self.again(self.audit, name)
+
+
+def _again(df: DataFrame, visit: Callable[[Node], str | Built], max_depth: int) -> Callable[[Column, str], DataFrame]:
+    def run(audit: Column, name: str) -> DataFrame:
+        return rewrite(df.withColumn(name, audit), lambda n: KEEP if n.path and n.path[0] == name else visit(n), max_depth=max_depth)
+
+    return run
 
 
 def _shown(node: Node) -> str:
@@ -82,7 +95,7 @@ def mask_sensitive(df: DataFrame, fields: list[str] = (), mode: str = "full", cu
         return DESCEND
 
     out = rewrite(df, visit, max_depth=max_depth)
-    return Masked(out, _trail(entries), paths)
+    return Masked(out, _trail(entries), list(paths), _again(df, visit, max_depth))
 
 
 def redact_keys(df: DataFrame, keys: list[str] = (), auto_detect: bool = False, threshold: float = 0.8, categories: list[str] | None = None, max_depth: int = MAX_DEPTH) -> Masked:
@@ -114,11 +127,25 @@ def redact_keys(df: DataFrame, keys: list[str] = (), auto_detect: bool = False,
         return DESCEND
 
     out = rewrite(df, visit, max_depth=max_depth)
-    return Masked(out, _trail(entries), paths)
+    return Masked(out, _trail(entries), list(paths), _again(df, visit, max_depth))
+
+
+def _matches_masked(text: Column, pattern: str, mask: Callable[[Column], Column]) -> Column:
+    """The text put together again from what stands between matches, and masks of these."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    # an empty match at the very begin splits off nothing
+    between = F.when(F.size(between) == F.size(found), F.concat(F.array(F.lit("")), between)).otherwise(between)
+    masked = F.concat(F.transform(found, mask), F.array(F.lit("")))
+    return F.array_join(F.zip_with(between, masked, lambda x, m: F.concat(x, m)), "")
 
 
-def mask_by_pattern(df: DataFrame, patterns: list[str], mode: str = "full", match_only: bool = False, mark: str = "*", custom: Callable[[Column], Column] | None = None, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """String fields that hold a pattern are masked, whole or only where they match; strings inside arrays stay."""
+def mask_by_pattern_audited(df: DataFrame, patterns: list[str], mode: str = "full", match_only: bool = False, mark: str = "*", custom: Callable[[Column], Column] | None = None, max_depth: int = MAX_DEPTH) -> Masked:
+    """String fields that hold a pattern are masked, whole or only where they match; strings inside arrays stay.
+
+    The audit is kept for fields outside arrays; its size is a row's number of masked fields.
+    """
+    entries: list[Column] = []
     for p in patterns:
         re.compile(p)
 
@@ -130,11 +157,18 @@ def mask_by_pattern(df: DataFrame, patterns: list[str], mode: str = "full", matc
             if not match_only:
                 col = F.when(node.col.rlike(p), apply_mask(node.col, mode, mark, custom)).otherwise(col)
                 continue
-            found = F.array_sort(F.array_distinct(F.regexp_extract_all(col, F.lit(p), F.lit(0))), lambda a, b: F.length(b) - F.length(a))
-            col = F.aggregate(F.coalesce(found, F.array().cast("array<string>")), col, lambda text, m: F.when(m == "", text).otherwise(F.replace(text, m, apply_mask(m, mode, mark, custom))))
+            col = _matches_masked(col, p, lambda m: apply_mask(m, mode, mark, custom))
+        if None not in node.path:
+            entries.append(_entry(node, "masked", mode, None, ~col.eqNullSafe(node.col) if match_only else reduce(lambda a, b: a | b, [F.coalesce(node.col.rlike(p), F.lit(False)) for p in patterns], F.lit(False))))
         return Built(col, node.kind)
 
-    return rewrite(df, visit, max_depth=max_depth)
+    out = rewrite(df, visit, max_depth=max_depth)
+    return Masked(out, _trail(entries), again=_again(df, visit, max_depth))
+
+
+def mask_by_pattern(df: DataFrame, patterns: list[str], mode: str = "full", match_only: bool = False, **options) -> DataFrame:
+    """The masked table alone."""
+    return mask_by_pattern_audited(df, patterns, mode, match_only, **options).df
 
 
 def safe_clone(df: DataFrame, mask_fields: list[str] = (), redact_fields: list[str] = (), mode: str = "full", auto_detect: bool = False, max_depth: int = MAX_DEPTH) -> DataFrame:

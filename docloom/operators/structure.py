@@ -20,9 +20,11 @@ def normalize_keys(df: DataFrame, case: str = "camel", deep: bool = True, custom
 
 @dataclass
 class _Tree:
-    """Paths of an unflattened document."""
+    """Paths of an unflattened document; ``within`` is null where the object itself is."""
 
     leaf: Column | None = None
+    kind: T.DataType | None = None
+    within: Column | None = None
     named: dict[str, _Tree] = field(default_factory=dict)
     placed: dict[int, _Tree] = field(default_factory=dict)
 
@@ -89,7 +91,11 @@ def compact_sparse(col: Column) -> Column:
 
 
 def remap(df: DataFrame, mapping: dict[str, str], keep_unmapped: bool = False, default: object = None) -> DataFrame:
-    """Values of source paths under target paths; what is missing takes the default or is skipped."""
+    """Values of source paths under target paths; what is missing takes the default or is skipped.
+
+    ``keep_unmapped`` carries every field over that no source path names, by its
+    path or by its name, at any depth; objects that lose all their fields go.
+    """
     root = _Tree()
     for source, target in mapping.items():
         found = resolve(df, source)
@@ -102,16 +108,34 @@ def remap(df: DataFrame, mapping: dict[str, str], keep_unmapped: bool = False, d
             continue
         for p in parts:
             at = at.named.setdefault(p, _Tree())
-        at.leaf = F.lit(default) if missing else found.col
+        at.leaf, at.kind = (F.lit(default), None) if missing else (found.col, found.kind)
+
+    def carry(fields: list[Node], tree: _Tree, path: str) -> None:
+        for f in fields:
+            own = f"{path}.{f.key}" if path else f.key
+            if own in mapping or f.key in mapping or is_unsafe(f.key):
+                continue
+            there = tree.named.get(f.key)
+            if f.is_struct:
+                below = there or _Tree(within=f.col)
+                if below.leaf is not None:  # a mapped object gets what it lacks, another value makes way
+                    inner = below.kind.fields if isinstance(below.kind, T.StructType) else []
+                    below = _Tree(named={x.name: _Tree(below.leaf.getField(x.name), x.dataType) for x in inner})
+                carry(f.children(), below, own)
+                if below.named:
+                    tree.named[f.key] = below
+            elif there is None:
+                tree.named[f.key] = _Tree(f.col, f.kind)
 
     def build(t: _Tree) -> Column:
-        return t.leaf if t.leaf is not None else F.struct(*[build(c).alias(k) for k, c in t.named.items()])
+        if t.leaf is not None:
+            return t.leaf
+        both = F.struct(*[build(c).alias(k) for k, c in t.named.items()])
+        return both if t.within is None else F.when(t.within.isNotNull(), both)
 
-    cols = {k: build(t) for k, t in root.named.items()}
     if keep_unmapped:
-        used = {split_path(s)[0] for s in mapping}
-        cols = {**{c: F.col(f"`{c}`") for c in df.columns if c not in used}, **cols}
-    return df.select(*[c.alias(k) for k, c in cols.items()])
+        carry([Node(F.col(f"`{f.name}`"), f.dataType, (f.name,)) for f in df.schema.fields], root, "")
+    return df.select(*[build(t).alias(k) for k, t in root.named.items()])
 
 
 def _merged(a: Node, b: Node, strategy: str, depth: int) -> Built:
@@ -151,13 +175,15 @@ def deep_merge(a: Column | str, b: Column | str, df: DataFrame) -> Column:
 
 
 def array_to_object(col: Column, kind: T.ArrayType, key: str) -> Column:
-    """A map of an array's objects by a field, which leaves the values; null keys are skipped, the last of equal ones counts."""
+    """A map of an array's objects by a field, which leaves the values; null keys are skipped, the last of equal ones counts.
+
+    That is what ``spark.sql.mapKeyDedupPolicy`` does as ``configure`` sets it.
+    """
     inner: T.StructType = kind.elementType
     named = F.filter(col, lambda x: x.getField(key).isNotNull())
     rest = [f.name for f in inner.fields if f.name != key]
     text = lambda x: canonical(x.getField(key), inner[key].dataType)
-    last = F.filter(named, lambda x, i: ~F.exists(F.slice(named, i + 2, F.size(named)), lambda y: text(y) == text(x)))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(text(x).alias("key"), F.struct(*[x.getField(n).alias(n) for n in rest]).alias("value"))))
+    return F.map_from_entries(F.transform(named, lambda x: F.struct(text(x).alias("key"), F.struct(*[x.getField(n).alias(n) for n in rest]).alias("value"))))
 
 
 def object_to_array(col: Column, kind: T.DataType, key_name: str = "key", value_name: str = "value") -> Column:

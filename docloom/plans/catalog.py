@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..functions import formatters as fmt, masks
-from ..functions.detect import detect_pii, detect_type, is_numeric_like
-from ..functions.labels import convert_key_case, display_label
+from ..functions.detect import detect_pii, detect_type, is_date_like, is_numeric_like
+from ..functions.labels import convert_key_case, display_label, tokens_column
 from ..operators import csv_export, documents, extract, filters, json_schema, query as q, search as s, sections, security, structure, values
 from ..sources import parse
 from .nodes import variant_nodes
@@ -380,7 +381,10 @@ def mask_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), masks.sha_prefix(F.col("c_name")).alias("sha"))
 
 
-@_query()
+_HASH = "format('{{:08x}}', list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({0} || '{1}', ''), lambda x: unicode(x)::BIGINT)), lambda a, u: xor(a * 33, u) & 4294967295))"
+
+
+@_query("SELECT c_custkey, " + " || ".join(_HASH.format("c_name", x) for x in "abcd") + " AS hash FROM customer")
 def quick_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "customer").select("c_custkey", masks.quick_hash(F.col("c_name")).alias("hash"))
 
@@ -395,11 +399,52 @@ def mask_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security.mask_by_pattern(_table(spark, sf_dir, "documents").select("doc_id", "text"), [r"[0-9]{9,}"], match_only=True)
 
 
-@_query("SELECT c_custkey, false AS sensitive, NULL::VARCHAR AS category FROM customer")
+_SAMPLES = ["lower(replace(c_name, '#', '.')) || '@example.com'", "'10.0.0.' || (c_custkey % 250)", "'plain words'", "'123-45-' || lpad((c_custkey % 10000)::VARCHAR, 4, '0')", "'2024-01-' || lpad((c_custkey % 28 + 1)::VARCHAR, 2, '0')", "'https://example.com/' || c_custkey", "' ' || c_custkey || '.5 '"]
+
+
+def _samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with texts of seven kinds in turn."""
+    key = F.col("c_custkey").cast("string")
+    texts = [F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")), F.concat(F.lit("10.0.0."), (F.col("c_custkey") % 250).cast("string")), F.lit("plain words"), F.concat(F.lit("123-45-"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")), F.concat(F.lit("2024-01-"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")), F.concat(F.lit("https://example.com/"), key), F.concat(F.lit(" "), key, F.lit(".5 "))]
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*texts), (F.col("c_custkey") % 7 + 1).cast("int")).alias("note"))
+
+
+_SAMPLED = "s AS (SELECT c_custkey, c_custkey % 7 AS k, [" + ", ".join(_SAMPLES) + "][c_custkey % 7 + 1] AS note FROM customer)"
+
+
+@_query(f"WITH {_SAMPLED} SELECT c_custkey, k IN (0, 1, 3, 4) AS sensitive, CASE k WHEN 0 THEN 'email' WHEN 1 THEN 'ipAddress' WHEN 3 THEN 'ssn' WHEN 4 THEN 'phone' END AS category FROM s")
 def detect_pii_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "customer")
-    found = detect_pii("segment", F.col("c_mktsegment"), T.StringType())
-    return c.select("c_custkey", found["sensitive"].alias("sensitive"), found["category"].alias("category"))
+    rows = _samples(spark, sf_dir)
+    found = detect_pii("note", F.col("note"), T.StringType())
+    return rows.select("c_custkey", found["sensitive"].alias("sensitive"), found["category"].alias("category"))
+
+
+@_query(f"WITH {_SAMPLED} SELECT c_custkey, CASE k WHEN 0 THEN 'email' WHEN 4 THEN 'date' WHEN 5 THEN 'url' WHEN 6 THEN 'number' ELSE 'string' END AS kind, k = 6 AS numeric, k = 4 AS dated FROM s")
+def detect_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = T.StringType()
+    return _samples(spark, sf_dir).select("c_custkey", detect_type(F.col("note"), text)["type"].alias("kind"), is_numeric_like(F.col("note"), text).alias("numeric"), is_date_like(F.col("note"), text).alias("dated"))
+
+
+@_query(f"WITH {_SAMPLED} SELECT c_custkey, CASE WHEN k IN (0, 1, 3) THEN repeat('*', least(length(note), 8)) ELSE note END AS note, (k IN (0, 1, 3))::INT AS entries FROM s")
+def mask_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = security.mask_sensitive(_samples(spark, sf_dir), auto_detect=True).audited()
+    return out.select("c_custkey", "note", F.size("audit").alias("entries"))
+
+
+@_query("SELECT c_custkey, reverse(c_name) AS custom, " + " || ".join(_HASH.format("c_mktsegment", x) for x in "abcd") + " AS hashed, left(c_mktsegment, 1) || repeat('*', least(length(c_mktsegment) - 2, 6)) || right(c_mktsegment, 1) AS part FROM customer")
+def mask_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("a"), F.col("c_mktsegment").alias("b"))
+    out = security.mask_sensitive(c, ["c_name"], "custom", custom=F.reverse).df
+    out = security.mask_sensitive(out, ["a"], "hash").df
+    out = security.mask_sensitive(out, ["b"], "partial").df
+    return out.select("c_custkey", F.col("c_name").alias("custom"), F.col("a").alias("hashed"), F.col("b").alias("part"))
+
+
+@_query("SELECT conv_id, turn, repeat('*', least(length(regexp_extract(text, '^[A-Za-z]+')), 8)) || substr(text, length(regexp_extract(text, '^[A-Za-z]+')) + 1) AS text, regexp_matches(text, '^[A-Za-z]') AS changed FROM conversations")
+def mask_pattern_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = security.mask_by_pattern_audited(rows, [r"^[A-Za-z]+"], match_only=True).audited()
+    return out.select("conv_id", "turn", "text", (F.size("audit") > 0).alias("changed"))
 
 
 @_query(_json_sql("""',"user":{"fullName":"********","homeAddress":{"nationKey":' || nation || '}' || """ + _SEGMENT, "CASE WHEN balance IS NULL THEN ',\"billing\":{}' ELSE ',\"billing\":{\"accountBalance\":' || balance || '}' END"))
@@ -423,9 +468,21 @@ def json_schema_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return json_schema.type_counts(c)
 
 
-@_query()
+_SCHEMA = """'{"$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "properties": {"id": {"type": "integer"}, "customer": {"type": "object", "properties": {"key": {"type": "integer"}, "status": {"type": "string"}}{0}}, "items": {"type": "array", "items": {"type": "object", "properties": {"line": {"type": "integer"}, "part": {"type": "integer"}, "flag": {"type": "string"}}{1}}}}{2}}'"""
+_NEED = """, "required": [{0}]"""
+_NEEDED = [_NEED.replace("{0}", x) for x in ('"key", "status"', '"line", "part", "flag"', '"id", "customer", "items"')]
+
+
+@_query("SELECT " + _SCHEMA.replace("{0}", _NEEDED[0]).replace("{1}", _NEEDED[1]).replace("{2}", _NEEDED[2]) + " AS schema")
 def json_schema_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(json_schema.json_schema_text(_orders(spark, sf_dir)),)], "schema string")
+    return spark.createDataFrame([(json_schema.json_schema_text(_orders(spark, sf_dir), required=True),)], "schema string")
+
+
+@_query("SELECT " + _SCHEMA.replace("{0}", "").replace("{1}", "").replace("{2}", "") + """ AS merged, '{"$schema": "http://json-schema.org/draft-07/schema#", "type": "object", "properties": {}}' AS nothing, count(*) FILTER (r_name IS NULL) AS empty_names FROM region""")
+def json_schema_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _orders(spark, sf_dir)
+    shown = [json.dumps(json_schema.json_schema_from_samples(x)) for x in (orders, orders.where("id < 0"))]
+    return _table(spark, sf_dir, "region").agg(F.lit(shown[0]).alias("merged"), F.lit(shown[1]).alias("nothing"), F.count_if(F.col("r_name").isNull()).alias("empty_names"))
 
 
 @_query("SELECT * FROM (VALUES ('o_orderkey', 'O Orderkey', 'oOrderkey'), ('o_custkey', 'O Custkey', 'oCustkey'), ('o_orderstatus', 'O Orderstatus', 'oOrderstatus'), ('o_totalprice', 'O Totalprice', 'oTotalprice'), ('o_orderdate', 'O Orderdate', 'oOrderdate'), ('o_orderpriority', 'O Orderpriority', 'oOrderpriority')) t(key, label, camel)")
@@ -462,3 +519,118 @@ def deep_safe_parse_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").select("event_id", "props")
     out = parse.deep_safe_parse(rows, {"props": "k string"})
     return out.select("event_id", F.col("props.k").alias("k"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def safe_parse_wrapped_often(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select("event_id", F.col("props").alias("w"))
+    for _ in range(5):  # JSON text of JSON text, five times
+        rows = rows.withColumn("w", F.to_json(F.array("w"))).withColumn("w", F.substring("w", F.lit(2), F.length("w") - 2))
+    return rows.select("event_id", F.try_variant_get(parse.safe_parse(F.col("w")), "$.k", "string").alias("k"))
+
+
+# further forms of the same operators
+
+
+@_query(f"WITH {_CUSTOMERS} SELECT id, full_name AS name, nation, segment, balance::VARCHAR AS balance, 's3cret' AS token FROM c")
+def remap_keep_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = structure.remap(_customers(spark, sf_dir), {"user.fullName": "name"}, keep_unmapped=True)
+    return out.select("id", "name", F.col("user.homeAddress.nationKey").alias("nation"), F.col("user.marketSegment").alias("segment"), F.col("billing.accountBalance").cast("string").alias("balance"), F.col("billing.apiToken").alias("token"))
+
+
+@_query(f"WITH {_CUSTOMERS} SELECT id FROM c WHERE NOT coalesce(balance > 100, false)")
+def where_negated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    return rows.where(~q.path_predicate(rows, "billing.accountBalance", "gt", 100)).select("id")
+
+
+@_query(f"WITH {_CUSTOMERS} SELECT id FROM c WHERE balance >= 100 AND segment = 'BUILDING'")
+def where_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    return rows.where(q.all_of(q.path_predicate(rows, "billing.accountBalance", ">=", 100), q.path_predicate(rows, "user.marketSegment", "==", "BUILDING"))).select("id")
+
+
+@_query("SELECT r_regionkey, r_name FROM region ORDER BY r_regionkey LIMIT 1")
+def first_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = q.from_(_table(spark, sf_dir, "region"), "r_regionkey").first()
+    return spark.createDataFrame([row], "r_regionkey int, r_name string")
+
+
+@_query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey >= 3 AND n_name < 'P' AND n_regionkey * 2 < 7")
+def where_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.from_(_table(spark, sf_dir, "nation")).where(lambda d: (d["n_nationkey"] >= 3) & (d["n_name"] < "P")).where(lambda d: d["n_regionkey"] * 2 < 7).select(["n_nationkey", "n_name"]).to_df()
+
+
+@_query("SELECT n_nationkey + 1 AS next, upper(n_name) || '!' AS loud FROM nation")
+def select_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.from_(_table(spark, sf_dir, "nation")).select(lambda d: [(d["n_nationkey"] + 1).alias("next"), F.concat(F.upper(d["n_name"]), F.lit("!")).alias("loud")]).to_df()
+
+
+@_query(f"WITH {_LINES} SELECT l_orderkey AS id, max(l_partkey) FILTER (pos = 0)::VARCHAR AS first_part, count(*)::INT AS parts FROM l GROUP BY l_orderkey")
+def get_first_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _orders(spark, sf_dir)
+    return rows.select("id", s.get_first(rows, "items[*].part").alias("first_part"), F.size(s.get_all(rows, "items[*].part")).alias("parts"))
+
+
+@_query("SELECT doc_id, contains(lower(coalesce(text, '')), 'licen') OR contains(lower(coalesce(text, '')), 'password') AS found FROM documents")
+def search_any_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return rows.select("doc_id", s.search_any(rows.select("text"), ["licen", "password"]).alias("found"))
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def pick_and_omit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation").withColumns({"more": F.lit(1), "less": F.lit(2)})
+    return extract.omit_keys(extract.pick_keys(n, ["n_name", "n_nationkey", "n_regionkey", "more"]), ["more"])
+
+
+@_query("SELECT n_nationkey AS k, n_nationkey || ',' || n_regionkey || ',' || n_regionkey || ',99' AS joined, CASE WHEN n_nationkey = n_regionkey THEN n_nationkey || ',99' ELSE n_nationkey || ',' || n_regionkey || ',99' END AS once, n_regionkey || ',99' AS plain FROM nation")
+def merge_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", F.struct(F.array("n_nationkey", "n_regionkey").alias("xs")).alias("a"), F.struct(F.array(F.col("n_regionkey"), F.lit(99)).alias("xs")).alias("b"))
+    text = lambda c: F.array_join(F.transform(c["xs"], lambda x: x.cast("string")), ",")
+    return n.select(F.col("n_nationkey").alias("k"), text(structure.merge_deep("a", "b", df=n, arrays="concat")).alias("joined"), text(structure.merge_deep("a", "b", df=n, arrays="unique")).alias("once"), text(structure.deep_merge("a", "b", n)).alias("plain"))
+
+
+@_query("SELECT n_nationkey, true AS same, n_nationkey = n_regionkey AS swapped FROM nation")
+def deep_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = F.struct(F.col("n_nationkey").alias("x"), F.array("n_regionkey", "n_nationkey").alias("y"))
+    b = F.struct(F.array(F.col("n_regionkey").cast("long"), F.col("n_nationkey").cast("long")).alias("y"), F.col("n_nationkey").cast("double").alias("x"))
+    c = F.struct(F.array("n_nationkey", "n_regionkey").alias("y"), F.col("n_nationkey").alias("x"))
+    n = _table(spark, sf_dir, "nation").select("n_nationkey", a.alias("a"), b.alias("b"), c.alias("c"))
+    kind = {x: n.schema[x].dataType for x in "abc"}
+    return n.select("n_nationkey", structure.deep_equal(F.col("a"), F.col("b"), kind["a"], kind["b"]).alias("same"), structure.deep_equal(F.col("a"), F.col("c"), kind["a"], kind["c"]).alias("swapped"))
+
+
+@_query(f"WITH {_CUSTOMERS} SELECT id AS row, id || '.' || k AS key, v AS value FROM c, LATERAL (VALUES ('id', id::VARCHAR), ('user.fullName', full_name), ('user.homeAddress.nationKey', nation::VARCHAR), ('user.marketSegment', segment), ('billing.accountBalance', regexp_replace(balance::VARCHAR, '\\.?0+$', '')), ('billing.apiToken', 's3cret')) t(k, v)")
+def flatten_array_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.flatten_rows(_customers(spark, sf_dir), "id")
+
+
+@_query("SELECT o_orderkey, strftime(o_orderdate, '%Y') AS year, CASE o_orderstatus WHEN 'F' THEN 'Done' ELSE o_orderstatus END AS status, CASE WHEN o_custkey % 2 = 1 THEN 'Yes' ELSE 'No' END AS odd, 'none' AS note FROM orders")
+def transform_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("year"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 2 == 1).alias("odd"), F.lit(None).cast("string").alias("note"))
+    return values.transform_values(o, {"year": {"type": "date", "pattern": "YYYY"}, "status": {"type": "enum", "names": {"F": "Done"}}, "odd": {"type": "boolean"}, "note": {"type": "default", "value": "none"}})[0]
+
+
+@_query(_json_sql(f"{_NAME} || {_SEGMENT}", f"""',"billing":{{' || {_BALANCE} || '"apiToken":"s3cret"}}'"""))
+def hide_nulls_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_json(filters.hide_if(_customers(spark, sf_dir), filters.is_null))
+
+
+@_query(_json_sql("""',"user":{"fullName":"' || full_name || '"' || CASE WHEN nation = 0 THEN '' ELSE ',"homeAddress":{"nationKey":' || nation || '}' END""" + f" || {_NO_BLANK}", """',"billing":{' || CASE WHEN coalesce(balance, 0) = 0 THEN '' ELSE '"accountBalance":' || balance || ',' END || '"apiToken":"s3cret"}'""").replace("c_custkey AS id", "c_custkey + 1 AS id"))
+def hide_falsy_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_json(filters.hide_if(_customers(spark, sf_dir).withColumn("id", F.col("id") + 1), filters.is_falsy))
+
+
+@_query("SELECT 'Top' AS title, 2 AS n, count(*) AS docs FROM customer")
+def merge_sections_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _table(spark, sf_dir, "customer")
+    parts = [sections.Sections(root_title="Top").fields(c.select("c_custkey", F.col(x).cast("string").alias(x)), ["c_custkey"]).where(F.col("c_custkey") == 1) for x in ("c_name", "c_mktsegment")]
+    merged = sections.merge_sections(*parts)
+    return merged.select("title", F.size("fields").alias("n")).crossJoin(F.broadcast(c.agg(F.count("*").alias("docs"))))  # one row
+
+
+@_query(r"SELECT event_id, array_to_string(string_split(event_type || 'Item', ' '), ' ') AS words, length(event_type) > 0 AS some FROM events")
+def key_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events")
+    return rows.select("event_id", F.array_join(tokens_column(F.concat(F.col("event_type"), F.lit("Item"))), "").alias("words"), (F.size(tokens_column(F.col("event_type"))) > 0).alias("some"))

@@ -25,12 +25,14 @@ def looks_like_json(text: Column) -> Column:
 
 def unwrapped_text(text: Column, rounds: int = 10) -> Column:
     """The innermost JSON text: quotes are taken off as long as what is inside looks like JSON."""
-    for _ in range(rounds - 1):
-        t = F.trim(text)
+
+    def off(held: Column, _: Column) -> Column:
+        t = F.trim(held)
         inner = F.try_variant_get(F.try_parse_json(t), "$", "string")
         more = looks_like_json(t) & t.startswith('"') & inner.isNotNull() & looks_like_json(F.trim(inner))
-        text = F.when(more, inner).otherwise(text)
-    return text
+        return F.when(more, inner).otherwise(held)
+
+    return F.aggregate(F.sequence(F.lit(2), F.lit(rounds)), text, off) if rounds > 1 else text
 
 
 def safe_parse(text: Column, rounds: int = 10, throw_on_pollution: bool = False) -> Column:
@@ -38,7 +40,7 @@ def safe_parse(text: Column, rounds: int = 10, throw_on_pollution: bool = False)
 
     Unsafe keys can be made an error; a reader of a declared schema drops them anyway.
     """
-    inner = unwrapped_text(text, min(rounds, 4))
+    inner = unwrapped_text(text, rounds)
     t = F.trim(inner)
     parsed = F.when(looks_like_json(t), F.try_parse_json(t))
     if throw_on_pollution:
@@ -51,7 +53,7 @@ def safe_parse(text: Column, rounds: int = 10, throw_on_pollution: bool = False)
 
 def safe_parse_typed(text: Column, schema: T.DataType | str, rounds: int = 10) -> Column:
     """The text's value in a declared schema; null where it doesn't fit. Duplicate keys: the last counts."""
-    return F.from_json(F.trim(unwrapped_text(text, min(rounds, 4))), schema)
+    return F.from_json(F.trim(unwrapped_text(text, rounds)), schema)
 
 
 def deep_safe_parse(df: DataFrame, payloads: dict[str, T.DataType | str] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import csv_export, documents, extract, filters, json_schema, query as q, search, sections, security, structure, values
+from docloom.functions import labels
 from docloom.plans.nodes import variant_nodes
 from docloom.sources import parse
 
@@ -170,11 +171,11 @@ def test_csv(spark):
 
 def test_json_schema(spark):
     df = spark.createDataFrame([(1, "a@b.co", [1.0, 2.5], None), (2, None, [], ("x",))], "id int, email string, xs array<double>, o struct<k: string>").coalesce(1)
-    got = json_schema.json_schema(df)
+    got = json_schema.json_schema(df, required=True)
     assert got["properties"]["id"] == {"type": "integer"} and got["properties"]["email"] == {"type": ["string", "null"]}
     assert set(got["properties"]["xs"]["items"]["type"]) == {"integer", "number"} and got["properties"]["o"] == {"type": ["null", "object"]}
     assert got["required"] == ["id", "xs"]
-    one = json_schema.json_schema(df.where("id = 1"), strict=True)
+    one = json_schema.json_schema(df.where("id = 1"), strict=True, required=True)
     assert one["properties"]["email"] == {"type": "string", "format": "email"} and one["additionalProperties"] is False
 
 
@@ -200,3 +201,57 @@ def test_filters_reach_the_scan(spark, tmp_path):
     df = q.from_(spark.read.parquet(str(tmp_path / "p"))).where("country", "eq", "IT").select(["id"]).to_df()
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [EqualNullSafe(country,IT)]" in plan and "ReadSchema: struct<id:bigint,country:string>" in plan and "Python" not in plan
+
+
+def test_pattern_masks_where_it_matches(spark):
+    df = spark.createDataFrame([(1, "cat concat 12 a12b"), (2, None), (3, "")], "id int, t string")
+    got = [r["t"] for r in security.mask_by_pattern(df, [r"\bcat\b", r"(?<=a)1"], match_only=True).orderBy("id").collect()]
+    assert got == ["*** concat 12 a*2b", None, ""]
+    assert [r["t"] for r in security.mask_by_pattern(df, [r"x*"], match_only=True).orderBy("id").collect()] == ["cat concat 12 a12b", None, ""]
+    told = security.mask_by_pattern_audited(df, ["^cat"]).audited().orderBy("id").collect()
+    assert [(r["t"], len(r["audit"])) for r in told] == [("********", 1), (None, 0), ("", 0)]
+
+
+def test_csv_files_begin_with_the_header(spark, tmp_path):
+    out = csv_export.to_csv(spark.range(10).repartition(3).withColumn("name", F.lit("a,b")), line_break="\n")
+    out.write(str(tmp_path / "csv"))
+    files = [p.read_text().splitlines() for p in (tmp_path / "csv").glob("part-*")]
+    files = [f for f in files if f]
+    assert files and all(f[0] == "id,name" and "id,name" not in f[1:] for f in files)
+    assert sorted(line for f in files for line in f[1:]) == sorted(f'{i},"a,b"' for i in range(10))
+
+
+def test_wraps_up_to_the_limit(spark):
+    import json
+
+    text = '{"a": 1}'
+    for _ in range(8):
+        text = json.dumps(text)
+    df = spark.createDataFrame([(text,), (None,), ("plain",), (json.dumps("x y"),)], "t string")
+    got = [r[0] for r in df.select(F.to_json(parse.safe_parse(F.col("t")))).collect()]
+    assert got == ['{"a":1}', 'null', '"plain"', '"x y"']
+    assert df.limit(1).select(F.to_json(parse.safe_parse(F.col("t"), 3))).first()[0].startswith('"\\"')
+
+
+def test_remap_keeps_what_is_left(spark):
+    df = spark.createDataFrame([(("Alice", 30), (1,)), (None, None)], "user struct<name:string,age:int>, meta struct<id:int>")
+    got = structure.remap(df, {"user.name": "fullName"}, keep_unmapped=True).collect()
+    assert [r.asDict(True) for r in got] == [{"fullName": "Alice", "user": {"age": 30}, "meta": {"id": 1}}, {"fullName": None, "user": None, "meta": None}]
+    into = structure.remap(df, {"user.name": "meta.name", "id": "gone"}, keep_unmapped=True).first().asDict(True)
+    assert into == {"meta": {"name": "Alice"}, "user": {"age": 30}}
+
+
+def test_schema_options(spark):
+    df = spark.createDataFrame([([("a",), (None,)], "2024-01-02")], "xs array<struct<k:string>>, d string")
+    first = json_schema.json_schema(df, merge_array_items=False)["properties"]
+    assert first["xs"]["items"]["properties"]["k"] == {"type": "string"} and first["d"]["format"] == "date"
+    assert json_schema.json_schema(df)["properties"]["xs"]["items"]["properties"]["k"]["type"] == ["string", "null"]
+    assert json_schema.json_schema(df, max_depth=1, infer_formats=False)["properties"] == {"xs": {"type": "array", "items": {}}, "d": {"type": "string"}}
+    assert json_schema.json_schema_from_samples(df.limit(0))["properties"] == {}
+
+
+def test_tokens_by_column(spark):
+    keys = ["userID", "HTTPServer2Go", "a_b-c.d e", "XMLHttpRequest", "größeX", "v2", "__x__", "", "ABC", "fooBAR9baz"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").coalesce(1).select(labels.tokens_column(F.col("k"))).collect()]
+    assert got == [labels.tokenize(k) for k in keys]
+    assert got[:5] == [["user", "ID"], ["HTTP", "Server", "2", "Go"], ["a", "b", "c", "d", "e"], ["XML", "Http", "Request"], ["größe", "X"]]
