@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .lookups import lookup
 from .storage import Scratch
 from .textkit import _FOLD, as_bytes, chunks
 
@@ -32,14 +33,14 @@ _LETTER[128:] = True
 
 def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all trigrams of letters and blanks, and each text's first; no trigram is all blank."""
-    raw = _FOLD[np.frombuffer(b"  ".join(texts) + b"   ", np.uint8)]
+    raw = _FOLD[np.frombuffer(b"  " + b"  ".join(texts) + b"   ", np.uint8)]
     letter = _LETTER[raw]
     raw = np.where(letter, raw, np.uint8(32)).astype(np.uint32)
     code = raw[:-2] | (raw[1:-1] << 8) | (raw[2:] << 16)
     keep = letter[1:-1]  # the middle one is a letter, so none spans two texts
     at = np.flatnonzero(keep)
     bucket = (code[at] * np.uint32(2654435761)) >> np.uint32(16)
-    begin = np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
+    begin = 2 + np.concatenate([[0], np.cumsum([len(t) + 2 for t in texts])])
     return bucket.astype(np.int64), np.searchsorted(at + 1, begin)
 
 
@@ -57,10 +58,10 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return pages.select(F.lit(None).cast("long").alias("doc_id"), F.col("page_id").cast("long"), text.alias("text"), declared.alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
 
 
-def document_evidence(docs: DataFrame) -> DataFrame:
-    """The same of documents: ``lang`` is what is declared, ``source`` the host."""
+def document_evidence(docs: DataFrame, *keep: str) -> DataFrame:
+    """The same of documents: ``lang`` is what is declared, ``source`` the host. Columns of ``keep`` go along."""
     host = F.lower(F.coalesce(F.col("source").cast("string"), F.lit("")))
-    return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string"), F.lower(F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"))
+    return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("page_id"), F.col("text").cast("string"), F.lower(F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("declared"), host.alias("host"), suffix_of(host).alias("suffix"), *keep)
 
 
 @dataclass(frozen=True)
@@ -78,7 +79,8 @@ class LanguageModel:
         """
         rows = docs.where("lang is not null and lang <> '' and length(text) > 0").select(F.lower(F.col("lang").cast("string")).alias("lang"), F.col("text").cast("string"), F.xxhash64("text", "lang").alias("h"))
         picked = F.broadcast(rows.select("h").distinct().orderBy("h").limit(limit))  # a fixed number of digests
-        sample = rows.join(picked, "h", "left_semi").dropDuplicates(["h"])
+        named = rows.join(picked, "h", "left_semi").select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+        sample = rows.join(picked, "h", "left_semi").join(F.broadcast(named), "lang", "left_semi").dropDuplicates(["h"])  # at most ``most`` names
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: dict[str, np.ndarray] = {}
@@ -95,9 +97,9 @@ class LanguageModel:
                 yield pa.record_batch([pa.array([k] * len(at)), pa.array(at.astype(np.int32)), pa.array(c[at])], ["lang", "bucket", "n"])
 
         found: dict[str, np.ndarray] = {}
-        for r in sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect():  # languages times buckets
+        for r in sample.select("lang", "text").mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most ``most`` times the buckets, by partition
             found.setdefault(r["lang"], np.zeros(_BUCKETS + 1))[r["bucket"]] = r["n"]
-        names = sorted(sorted(found, key=lambda k: (-found[k][_BUCKETS], k))[:most])
+        names = sorted(found)
         table = np.zeros((_BUCKETS, len(names) + 1), np.float32)
         for j, k in enumerate(names):
             c = found[k][:_BUCKETS]
@@ -159,8 +161,10 @@ class LanguageIdentifier:
         by_suffix = scored.groupBy("suffix").agg(F.array(*votes).alias("suffix_votes"))
         by_host = scored.groupBy("host", "suffix").agg(F.array(*votes).alias("host_votes"))
         by_declared = scored.groupBy("declared").agg(F.array(*votes).alias("declared_votes"))
-        known = by_host.join(by_suffix, "suffix")
-        rows = scored.join(known, ["host", "suffix"]).join(by_declared, "declared")
+        # a host, suffix or declared language may have a third of all rows
+        by_suffix, by_host, by_declared = scratch.write(by_suffix, "by-suffix"), scratch.write(by_host, "by-host"), scratch.write(by_declared, "by-declared")
+        known = scratch.write(lookup(by_host, by_suffix, ["suffix"], 8 * size + 64), "known")
+        rows = lookup(lookup(scored, known, ["host", "suffix"], 16 * size + 128), by_declared, ["declared"], 8 * size + 64)
         k = self.strength
 
         def own(votes: str) -> Column:
@@ -189,10 +193,16 @@ class LanguageIdentifier:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """Documents whose language is accepted, all columns as they are."""
+    """Documents whose language is accepted, all columns as they are.
+
+    Judged row by row: rows of one doc_id, or without any, stand or go each by its own text.
+    """
     scratch = Scratch(docs.sparkSession, "langid")
-    judged = LanguageIdentifier(LanguageModel.fit(docs)).identify(document_evidence(docs), scratch)
-    judged = scratch.write(judged.select("doc_id", "accepted"), "judged")
-    refused = judged.where("not accepted").select("doc_id").distinct()
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in ("doc_id", "text", "lang", "source")]
+    keys = {"__row_a": F.xxhash64(*parts), "__row_b": F.xxhash64(*reversed(parts))}  # 128 bits of what is judged
+    marked = docs.withColumns(keys)
+    judged = LanguageIdentifier(LanguageModel.fit(docs)).identify(document_evidence(marked, *keys), scratch)
+    refused = scratch.write(judged.where("not accepted").select(*keys).distinct(), "refused")
+    scratch.keep("refused")
     small = refused.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(refused) if small else refused, docs["doc_id"].cast("long").eqNullSafe(refused["doc_id"]), "left_anti")
+    return marked.join(F.broadcast(refused) if small else refused, list(keys), "left_anti").drop(*keys)

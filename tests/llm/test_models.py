@@ -326,6 +326,57 @@ def test_language(spark):
     assert judged[1]["language"] == "zz" and not judged[2]["accepted"]
 
 
+@pytest.mark.parametrize("most", [16 << 20, 0])
+def test_language_equals_brute_force(spark, monkeypatch, most):
+    """Every likelihood, prior and posterior by plain loops, with broadcast tables and without."""
+    from docloom.llm import lookups
+
+    monkeypatch.setattr(lookups, "BROADCAST_BYTES", most)
+    r = random.Random(5)
+    kinds = {"aa": ["banana", "cabana", "Häv"], "bb": ["buzz", "fizz", "abba"], "cc": ["cocoa", "occult", "banana"]}
+    rows = []
+    for i in range(90):
+        k = r.choice(list(kinds))
+        text = " ".join(r.choice(kinds[k if r.random() < 0.8 else "cc"]) for _ in range(r.randrange(1, 6)))
+        rows.append((i, r.choice([text, text, text, "", "12", None]), r.choice([k, k, "bb", "", None]), r.choice(["hot.com", "hot.com", f"h{i % 5}.org", "nodot", None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = LanguageModel.fit(docs)
+    got = {x["doc_id"]: x for x in LanguageIdentifier(model).identify(document_evidence(docs), Scratch(spark, "t")).collect()}
+    names, size = model.languages, len(model.languages)
+    seen, ll, best = [], [], []
+    for _, text, lang, source in rows:
+        raw = b" " + (text or "").translate(FOLD).encode() + b" "
+        raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw)
+        grams = [raw[i] | raw[i + 1] << 8 | raw[i + 2] << 16 for i in range(len(raw) - 2) if raw[i + 1] != 32]
+        at = [(g * 2654435761 % 2**32) >> 16 for g in grams]
+        ll.append([sum(float(model.table[b, j]) for b in at) / (1 + len(at) / 60) for j in range(size)])
+        best.append(max(range(size), key=lambda j: (ll[-1][j], -j)) if at else size - 1)
+        host = (source or "").lower()
+        seen.append((host, host.rsplit(".", 1)[1] if "." in host else "", (lang or "").lower(), len(at)))
+    votes = lambda test: [sum(b == j and test(x) for b, x in zip(best, seen, strict=True)) for j in range(size)]
+    total = votes(lambda x: True)
+    overall = [(1 - 1e-3) * (total[j] + 1) / (sum(total) - total[-1] + size - 1) for j in range(size - 1)] + [1e-3]
+    smooth = lambda v, base: [(a + 20 * b) / (sum(v) + 20) for a, b in zip(v, base, strict=True)]
+    for (i, *_), x, scores, b in zip(rows, seen, ll, best, strict=True):
+        own = lambda v, b=b: [n - (j == b) for j, n in enumerate(v)]
+        prior = overall if x[1] == "" else smooth(own(votes(lambda y: y[1] == x[1])), overall)
+        prior = prior if x[0] == "" else smooth(own(votes(lambda y: y[:2] == x[:2])), prior)
+        said = votes(lambda y: y[2] == x[2])
+        told = [1.0] * size if x[2] == "" else [(v + 20 * sum(said) / sum(total)) / (n + 20) for v, n in zip(own(said), total, strict=True)]
+        joint = [s + math.log(p) + math.log(max(t, 1e-12)) for s, p, t in zip(scores, prior, told, strict=True)]
+        top = max(joint)
+        assert got[i]["posterior"] == pytest.approx(1 / sum(math.exp(j - top) for j in joint), rel=1e-6)
+        want = names[joint.index(top)] if x[3] else "und"
+        assert got[i]["language"] == want and got[i]["accepted"] == (want != "und" and got[i]["posterior"] >= 0.5)
+
+
+def test_rows_of_one_id_are_judged_apart(spark):
+    rows = [(None, "banana cabana", "aa", "s"), (None, "12 34", "aa", "s"), (None, None, None, None), (7, "banana banana", "aa", None), (7, "", "aa", None), (7, "banana banana", "aa", None)] + [(100 + i, "cabana banana", "aa", "s") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("refused", F.lit("clash"))
+    kept = keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 12 and kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 7").count() == 2
+
+
 def test_language_of_nothing(empty, docs):
     model = LanguageModel.fit(empty)
     assert model.languages == ("und",)
