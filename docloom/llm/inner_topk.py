@@ -6,6 +6,11 @@ vector is at most the partial product over the leading dimensions plus the
 product of the two residual lengths (Cauchy-Schwarz); vectors whose bound stays
 below the query's k-th best score so far are passed over, and a block ends as
 soon as the lengths alone settle it. Survivors are scored exactly in integers.
+
+Blocks come in waves, the longest vectors first. Before each wave a small table
+of lengths and floors tells which blocks of queries a block of vectors can still
+better; no other pair of blocks is brought together, and what a wave finds
+raises the floors for the next.
 """
 
 from __future__ import annotations
@@ -61,7 +66,7 @@ def _gram(dims: int):
 
 
 def _blocks(dims: int, rows: int):
-    """Packed blocks of a partition's vectors in the order they come, longest first."""
+    """Packed blocks of a partition's vectors in the order they come, longest first, with the greatest length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -69,11 +74,11 @@ def _blocks(dims: int, rows: int):
 
         def packed() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.record_batch([pa.array([np.asarray(t.column(0)).tobytes()], pa.binary()), pa.array([b"".join(t.column(1).to_pylist())], pa.binary())], ["ids", "ints"])
+            return pa.record_batch([pa.array([np.asarray(t.column(0)).tobytes()], pa.binary()), pa.array([b"".join(t.column(1).to_pylist())], pa.binary()), pa.array([t.column(2)[0].as_py()], pa.float64())], ["ids", "ints", "most"])
 
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows).select([0, 1])
+                part = batch.slice(at, rows)
                 if n + part.num_rows > rows and held:
                     yield packed()
                     held, n = [], 0
@@ -136,24 +141,39 @@ def _search(dims: int, k: int, lead: int, rotation: bytes, step: int = 512):
     return run
 
 
+_NO_FLOOR = np.iinfo(np.int64).min // 2
+
+
 def _floors(dims: int, k: int, seeds: tuple[bytes, bytes]):
-    """Queries packed in blocks, each with the k-th best exact score among the seed vectors."""
+    """Queries with the k-th best exact score among the seed vectors as ``floor``."""
     sid, sx = np.frombuffer(seeds[0], np.int64), np.frombuffer(seeds[1], np.int64).reshape(-1, dims)
 
-    def run(table: pa.Table) -> pa.Table:
-        qids = np.asarray(table.column("vec_id").combine_chunks())
-        q = _matrix(table.column("ints").combine_chunks(), dims)
-        floor = np.full(len(qids), np.iinfo(np.int64).min // 2, np.int64)
-        score = _products(q, sx)
-        for i in range(len(qids)):
-            s = score[i][sid != qids[i]]
-            if len(s) >= k:
-                floor[i] = np.partition(s, len(s) - k)[len(s) - k]
-        return pa.table({"qb": table.column("qb").slice(0, 1), "q_ids": pa.array([qids.tobytes()], pa.binary()), "q_ints": pa.array([q.tobytes()], pa.binary()), "floor": pa.array([floor.tobytes()], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                qids = np.asarray(part.column(0))
+                floor = np.full(len(qids), _NO_FLOOR, np.int64)
+                score = _products(_matrix(part.column(1), dims), sx)
+                for i in range(len(qids)):
+                    s = score[i][sid != qids[i]]
+                    if len(s) >= k:
+                        floor[i] = np.partition(s, len(s) - k)[len(s) - k]
+                yield pa.record_batch([part.column(0), part.column(1), part.column(2), pa.array(floor)], ["vec_id", "ints", "norm", "floor"])
 
     return run
 
 
+def _packed_queries(table: pa.Table) -> pa.Table:
+    """One block of queries, with its greatest length and its least floor."""
+    floor = np.asarray(table.column("floor").combine_chunks())
+    col = lambda x: pa.array([x], pa.binary())
+    return pa.table({
+        "qb": table.column("qb").slice(0, 1), "q_ids": col(np.asarray(table.column("vec_id").combine_chunks()).tobytes()), "q_ints": col(b"".join(table.column("ints").to_pylist())),
+        "floor": col(floor.tobytes()), "q_most": pa.array([max(table.column("norm").to_pylist())]), "least": pa.array([float(floor.min())]),
+    })
+
+
 @dataclass(frozen=True)
 class InnerProductTopK:
     """Exact best ``k`` rows of each query by integer inner product.
@@ -173,6 +193,8 @@ class InnerProductTopK:
     block: int = 4096
     query_block: int = 1024
     seeds: int = 2048
+    #: Shares of all blocks, longest first, that the waves before the last take.
+    waves: tuple[float, ...] = (0.02, 0.15)
 
     def search(self, vectors: DataFrame, scratch: Scratch | None = None) -> DataFrame:
         spark = vectors.sparkSession
@@ -193,16 +215,34 @@ class InnerProductTopK:
         top = rows.orderBy(F.desc("norm"), "vec_id").limit(self.seeds).select("vec_id", "ints").collect()  # a fixed number of rows
         seeds = (np.array([r["vec_id"] for r in top], np.int64).tobytes(), b"".join(bytes(r["ints"]) for r in top))
         bars, cols = -(-queries // self.query_block), -(-total // self.block)
-        asked = rows.where(F.col("vec_id") % self.every == 0).withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(bars)).cast("int"))
-        asked = asked.groupBy("qb").applyInArrow(_floors(dims, self.k, seeds), "qb int, q_ids binary, q_ints binary, floor binary")
+        found_schema = "query_id long, vec_id long, score long"
+        asked = rows.where(F.col("vec_id") % self.every == 0).select("vec_id", "ints", "norm").mapInArrow(_floors(dims, self.k, seeds), "vec_id long, ints binary, norm double, floor long")
+        asked = scratch.write(asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(bars)).cast("int")), "asked")
         ranged = rows.repartitionByRange(cols, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-        spread = F.pmod(F.xxhash64("ids"), F.lit(cols)).cast("int")
-        packed = scratch.write(ranged.mapInArrow(_blocks(dims, self.block), "ids binary, ints binary").withColumn("at", spread), "blocks")
-        asked = scratch.write(asked, "queries")
-        # the stated queries meet all rows block by block: each block finds each query block under its own number
-        left = packed.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(bars - 1))))
-        right = asked.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(cols - 1))))
-        met = left.join(right, ["at", "qb"]).select("ids", "ints", "q_ids", "q_ints", "floor")
-        found = met.mapInArrow(_search(dims, self.k, min(self.lead, dims), turn.tobytes()), "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
+        blocks = scratch.write(ranged.mapInArrow(_blocks(dims, self.block), "ids binary, ints binary, most double").withColumn("at", F.monotonically_increasing_id()), "blocks")
+        limits = [float("-inf")]
+        if cols > 1:
+            # lengths at which the waves end; by rank of the blocks' greatest lengths, a number a block
+            limits = [*blocks.agg(F.percentile_approx("most", [1 - w for w in self.waves], 10_000)).first()[0], float("-inf")]
+        over, best, order = float("inf"), None, Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        top_k = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= self.k)
+        for n, limit in enumerate(limits):
+            if limit >= over:
+                continue
+            floors = asked
+            if best is not None:
+                reached = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") == self.k)
+                floors = asked.join(reached.select("vec_id", "kth"), "vec_id", "left").withColumn("floor", F.greatest("floor", F.coalesce("kth", "floor"))).drop("kth")
+            queries_ = scratch.write(floors.groupBy("qb").applyInArrow(_packed_queries, "qb int, q_ids binary, q_ints binary, floor binary, q_most double, least double"), f"queries-{n}")
+            part = blocks.where((F.col("most") < over) & (F.col("most") >= limit))
+            # a number or two a block on either side: which blocks can still better which queries
+            can = F.col("q_most") * F.col("most") * (1 + 1e-6) + 1e-3 >= F.col("least")
+            pairs = scratch.write(part.select("at", "most").join(queries_.select("qb", "q_most", "least"), can).select("at", "qb"), f"pairs-{n}")
+            met = pairs.join(queries_.drop("q_most", "least"), "qb").join(part.drop("most"), "at").select("ids", "ints", "q_ids", "q_ints", "floor")
+            found = met.mapInArrow(_search(dims, self.k, min(self.lead, dims), turn.tobytes()), found_schema)
+            if best is not None:
+                found = found.unionByName(best.select("query_id", "vec_id", "score"))
+            best = scratch.write(top_k(found), f"best-{n}")
+            over = limit
+        scratch.keep(f"best-{n}")
+        return best.select("query_id", F.col("rank").cast("int"), "vec_id", "score")

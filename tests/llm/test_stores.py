@@ -80,6 +80,27 @@ def test_topk(spark):
     assert search.search(df.where("vec_id in (10, 20, 30)")).count() == 6
 
 
+def test_topk_passes_over_blocks(spark, monkeypatch):
+    """Short vectors' blocks meet no query once the long ones have set the floors; results are those of all pairs."""
+    from docloom.llm import inner_topk
+
+    r = np.random.default_rng(3)
+    x = r.integers(-50, 50, (600, 6))
+    x[:40] *= 40
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    scratch = Scratch(spark, "t")
+    monkeypatch.setattr(scratch, "keep", lambda *names: None)
+    got = InnerProductTopK(k=3, every=50, scale=1, block=16, query_block=4, seeds=4, lead=2).search(df, scratch).collect()
+    want = set()
+    for q in range(0, 600, 50):
+        best = sorted((-int(x[q] @ x[v]), v) for v in range(600) if v != q)[:3]
+        want |= {(q, k, v, -s) for k, (s, v) in enumerate(best, 1)}
+    assert {tuple(g) for g in got} == want
+    names = [n for n in scratch._schemas if n.startswith("pairs-")]
+    met = sum(scratch.read(n).count() for n in names)
+    assert len(names) == 3 and met < scratch.read("blocks").count() * scratch.read("queries-0").count() / 2
+
+
 def test_raking_meets_targets(spark, docs, empty):
     rows = [(i, "word " * (1 + i % 7), ("en", "de", None)[i % 3], ("big", "s1", "s2")[0 if i % 5 < 3 else i % 2 + 1], i) for i in range(3000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("tokens", F.lit("clash"))
