@@ -126,25 +126,23 @@ def test_raking_meets_targets(spark, docs, empty):
     got = (out.tokens * out.probability).groupby(out.source).sum()
     assert (got / got.sum())["big"] == pytest.approx(0.4 / 1.0, abs=0.02)
     assert abs(out.sampled.mean() - out.probability.mean()) < 0.03
-    plan = rake.draw(df)._jdf.queryExecution().executedPlan().toString()
+    plan = rake.draw(df.limit(9))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert rake.draw(empty).count() == 0
-    drawn = Raking().draw(docs)
+    drawn = Raking(rounds=2).draw(docs)
     assert drawn.count() == docs.count() and drawn.where("tokens = 0 and sampled").count() == 0 and set(drawn.columns) == set(docs.columns) | {"tokens", "topic", "probability", "sampled"}
 
 
-@pytest.mark.parametrize("names", [1000, 0])
-def test_raking_where_cells_are_exhausted(spark, monkeypatch, names):
+def test_raking_where_cells_are_exhausted(spark):
     """A source with less than its share gives all it has, cells that are full are raked around, and a topic column is used."""
-    monkeypatch.setattr(raking, "NAMES", names)
     rows = [(i, "w " * 5, "en" if i % 4 else "de", "rare" if i < 30 else ("a", "b")[i % 2], "t1" if i % 3 else None) for i in range(1200)] + [(None, "x y", "en", "a", "t1"), (None, "z", "xx", "a", "t1")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
-    rake = Raking(fraction=0.5, targets={"source": {"rare": 0.4, "a": 0.3, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}}, topic="topic", rounds=100 if names else 25)
+    rake = Raking(fraction=0.5, targets={"source": {"rare": 0.4, "a": 0.3, "b": 0.3}, "lang": {"en": 0.6, "de": 0.4}}, topic="topic", rounds=60)
     scratch = Scratch(spark, "t")
     out = rake.draw(df, scratch).toPandas()
     assert (out[out.source == "rare"].probability > 0.99).all() and (out[out.lang == "xx"].probability == 0).all()
     told = rake.margins(scratch).toPandas()
-    assert told.expected.to_numpy() == pytest.approx(told.target.to_numpy(), rel=1e-4 if names else 2e-2)
+    assert told.expected.to_numpy() == pytest.approx(told.target.to_numpy(), rel=1e-3)
     budget = 0.5 * out.tokens.sum()
     assert told.groupby("margin").target.sum().to_numpy() == pytest.approx([budget] * 3, rel=1e-6)
     side = told.set_index("name").target
@@ -152,6 +150,16 @@ def test_raking_where_cells_are_exhausted(spark, monkeypatch, names):
     assert (out.tokens * out.probability).sum() == pytest.approx(budget, rel=1e-2) and len(out) == len(rows)
 
 
+def test_factors_kept_or_joined_agree(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i % 5), ("en", "de")[i % 4 == 0], ("a", "b", "c")[i % 3], f"t{i % 2}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic string")
+    rake, got = Raking(fraction=0.4, targets={"source": {"a": 0.6, "b": 0.2, "c": 0.2}}, topic="topic", rounds=3), []
+    for names in (1000, 0):
+        monkeypatch.setattr(raking, "NAMES", names)
+        got.append({r["doc_id"]: r["probability"] for r in rake.draw(df).collect()})
+    assert got[0] == pytest.approx(got[1], rel=1e-9) and len(set(got[0].values())) > 4
+
+
 def test_topics(spark):
     rows = [("",), ("a | b | c | d",), ("x** y&& z##",), ("LOUD WORDS",), ("short note",), ("long prose " * 60,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").coalesce(1).select(topic_of(F.col("t"))).collect()]
