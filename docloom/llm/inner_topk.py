@@ -212,7 +212,7 @@ class InnerProductTopK:
         for r in rows.select("ints").mapInArrow(_gram(dims), "i int, j int, x double").groupBy("i", "j").agg(F.sum("x").alias("x")).collect():  # dims squared rows
             gram[r["i"], r["j"]] = r["x"]
         turn = np.linalg.eigh((gram + gram.T) / 2)[1][:, ::-1].copy()
-        top = rows.orderBy(F.desc("norm"), "vec_id").limit(self.seeds).select("vec_id", "ints").collect()  # a fixed number of rows
+        top = scratch.write(rows.orderBy(F.desc("norm"), "vec_id").limit(self.seeds).select("vec_id", "ints"), "seeds").collect()  # a fixed number of rows
         seeds = (np.array([r["vec_id"] for r in top], np.int64).tobytes(), b"".join(bytes(r["ints"]) for r in top))
         bars, cols = -(-queries // self.query_block), -(-total // self.block)
         found_schema = "query_id long, vec_id long, score long"

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .storage import Scratch
 from .textkit import _BYTE, _FOLD, _powers, as_bytes, chunks, mix
 
 # The pattern kinds, in order.
@@ -211,8 +212,11 @@ class SecretTagger:
                 yield pa.record_batch([pa.array([k for k, _ in found], pa.int32()), pa.array(digest, pa.int64()), pa.array([p for _, p in found], pa.binary())], ["kind", "digest", "payload"])
 
         cuts = rows.join(picked, ["h", "doc_id"], "left_semi").select("text").mapInArrow(cut, "kind int, digest long, payload binary")
-        some = [cuts.where(F.col("kind") == k).orderBy("digest", "payload").limit(sequences).collect() for k in (1, 0)]
-        return SecretTagger._learn(sorted({(r["kind"], r["digest"], bytes(r["payload"])) for part in some for r in part}), rounds, rate)
+        scratch = Scratch(docs.sparkSession, "crf")
+        some = [scratch.write(cuts.where(F.col("kind") == k).orderBy("digest", "payload").limit(sequences), f"cuts-{k}") for k in (1, 0)]
+        chosen = sorted({(r["kind"], r["digest"], bytes(r["payload"])) for r in some[0].union(some[1]).collect()})
+        scratch.keep()
+        return SecretTagger._learn(chosen, rounds, rate)
 
     @staticmethod
     def _learn(sample: list[tuple[int, int, bytes]], rounds: int, rate: float) -> SecretTagger:
