@@ -15,10 +15,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.paths import has_unsafe
 from ..functions.semantics import canonical, finite, is_array, is_number
-from ..plans.nodes import leaves
-from ..plans.walker import as_node
 from .extract import resolve
-from .search import keyword_test
+from .search import search_any
 
 ORD = "__ord"
 # Operator names and their aliases.
@@ -174,9 +172,7 @@ class Query:
 
     def search(self, keywords: str | list[str], whole_word: bool = False, strings_only: bool = False, limit: int | None = None) -> Query:
         """Rows of which any leaf matches; a limit has no effect on a row test."""
-        words = [w for w in ([keywords] if isinstance(keywords, str) else keywords) if w]
-        test = F.exists(leaves(as_node(self._visible())), lambda x: keyword_test(x, words, whole_word, strings_only))
-        return Query(self._df.where(test if words else F.lit(False)), self._key, self._sort)
+        return Query(self._df.where(search_any(self._visible(), keywords, whole_word, strings_only)), self._key, self._sort)
 
     # terminals
 

@@ -7,9 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.paths import parse_query
-from ..functions.semantics import MAX_DEPTH
-from ..plans.nodes import leaves, matches
-from ..plans.walker import as_node
+from ..functions.semantics import MAX_DEPTH, text_of
+from ..plans.nodes import kind_name, leaves, matches
+from ..plans.walker import Node, as_node, roots
 
 
 def keyword_hit(text: Column, word: str, whole_word: bool) -> Column:
@@ -44,9 +44,25 @@ def search(df: DataFrame, keywords: str | list[str], keep: list[str], whole_word
     return rows.select(*keep, F.col("__hit.path").alias("path"), F.col("__hit.txt").alias("value"), F.col("__hit.key").alias("key"), first.alias("keyword"))
 
 
+def holds_any(nodes: list[Node], words: list[str], whole_word: bool = False, strings_only: bool = False, max_depth: int = MAX_DEPTH) -> Column:
+    """Whether any leaf below the nodes holds a word; fields outside arrays are tested where they stand."""
+    hit = F.lit(False)
+    for n in nodes:
+        if n.depth > max_depth + 1:
+            continue
+        if n.is_struct:
+            below = holds_any(n.children(), words, whole_word, strings_only, max_depth)
+            hit = hit | (n.col.isNotNull() & below)
+        elif n.is_array:
+            hit = hit | F.exists(leaves(n, max_depth), lambda x: keyword_test(x, words, whole_word, strings_only))
+        elif not strings_only or kind_name(n.kind) == "string":
+            for w in words:
+                hit = hit | F.coalesce(keyword_hit(text_of(n.col, n.kind), w, whole_word), F.lit(False))
+    return hit
+
+
 def search_any(df: DataFrame, keywords: str | list[str], whole_word: bool = False, strings_only: bool = False, max_depth: int = MAX_DEPTH) -> Column:
-    words = _words(keywords)
-    return F.exists(leaves(as_node(df), max_depth), lambda x: keyword_test(x, words, whole_word, strings_only)) if words else F.lit(False)
+    return holds_any(roots(df), _words(keywords), whole_word, strings_only, max_depth)
 
 
 def query_path(df: DataFrame, path: str, max_depth: int = MAX_DEPTH) -> Column:
