@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docloom.llm.decontaminate import Decontaminator
-from docloom.llm.jaccard_join import JaccardJoin
+from docloom.llm.jaccard_join import BROADCAST_IDS, JaccardJoin
 from docloom.llm.language_id import keep_identified
 from docloom.llm.raking import Raking
 from docloom.llm.secret_crf import SecretTagger, redact
@@ -20,11 +20,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near duplicates (five words, 0.8)."""
+    """One document, the smallest doc_id, of each group of near duplicates (five words, 0.8).
+
+    Of a row that is repeated whole one stays; rows without a doc_id all do.
+    """
+    scratch = Scratch(spark, "copies")
     classes = JaccardJoin(width=5, num=80, den=100).classes(docs)
-    copies = Scratch(spark, "copies").write(classes.where("doc_id <> component_id").select("doc_id"), "copies")
-    few = copies.count() <= 2_000_000  # eight bytes each
-    return docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = scratch.write(classes.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    kept = _without(docs, copies)
+    again = scratch.write(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    few = again.count() <= BROADCAST_IDS
+    return _without(kept, again).unionByName(kept.join(F.broadcast(again) if few else again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates())
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of other ids; the ids are broadcast only where counted small."""
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +74,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs

@@ -174,7 +174,7 @@ def test_pipeline(spark, docs, documents, tmp_path):
     leak = "The benchmark asks which of the seventeen lighthouses was painted blue in the year of the great storm."
     extra = spark.createDataFrame([(7001, f"some leading words {leak} and trailing words", "en", "s", 1), (7002, 'the of and to in is token = "04debebab91ab85687d33eeaaf9ac699e1188f962" the of', "en", "s", 1)], base.schema)
     folder = str(tmp_path)
-    base.union(extra).write.parquet(f"{folder}/documents.parquet")
+    base.union(extra).union(extra).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     at, sizes = spark.read.parquet(f"{folder}/documents.parquet"), {}
     scratch = Scratch(spark, "t")
@@ -186,12 +186,17 @@ def test_pipeline(spark, docs, documents, tmp_path):
         if name == "near_duplicates":
             ids = {r["doc_id"] for r in at.collect()}
             assert 100 not in ids and 10 in ids and 450 not in ids
+            assert at.count() == at.select("doc_id").distinct().count()  # a repeated row stays once
         if name == "decontaminate":
-            assert at.where("doc_id = 7001").count() == 0 and before.count() - sizes[name] == 1
+            assert at.where("doc_id = 7001").count() == 0 and before.count() - sizes[name] == 1  # its copy went before
         if name == "hide_secrets":
             row = at.where("doc_id = 7002").first()
             assert "[SECRET]" in row["text"] and row["n_chars"] == len(row["text"]) and sizes[name] == before.count()
-    assert sizes["language_id"] < base.count() + 2 and 0 < sizes["mix"] < sizes["hide_secrets"]
+    assert sizes["language_id"] < base.count() + 4 and 0 < sizes["mix"] < sizes["hide_secrets"]
+    nothing = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0").withColumn("h", F.lit(1))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, nothing, folder)
+        assert out.count() == 0 and (name == "mix" or out.columns == nothing.columns)
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "near_duplicates", "decontaminate", "hide_secrets", "mix"]
 
 
