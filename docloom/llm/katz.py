@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .jaccard_join import shard_count
-from .ngram_shards import LARGEST, Figures, Layout, count_bigrams, count_words, fold_of, frequent_first_words, score, weigh
+from .ngram_shards import LARGEST, Figures, Layout, common_keys, common_values, count_bigrams, count_words, fold_of, frequent_first_words, score, weigh
 from .storage import Scratch
 
 
@@ -87,7 +87,8 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     model = weigh(bigrams, words, layout, katz, scratch, "model")
     scratch.drop("bigrams")
     scratch.drop("words/kind=1")  # the answers have been used
-    got = score(docs, words, model, layout, katz, scratch, spent=("words", "model/kind=1"))
+    common = common_values(words, model, katz, common_keys(train))
+    got = score(docs, words, model, layout, katz, scratch, common, spent=("words", "model/kind=1"))
     scratch.keep("sums-words", "sums-pairs")
     return got.select(
         "doc_id",

@@ -182,6 +182,30 @@ def frequent_first_words(texts: DataFrame, shards: int, limit: int = 2000) -> tu
     return np.array([f[0] for f in found], _U64), np.array([f[1] for f in found], np.int64)
 
 
+#: Words and bigrams, commonest in a sample, whose values every task knows.
+COMMON_WORDS, COMMON_PAIRS = 2048, 16384
+
+
+def common_keys(texts: DataFrame, limit: int = 2000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the words and bigrams that are commonest in ``limit`` texts; any answer is right, this one saves most."""
+    rows = texts.where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text")
+    picked = F.broadcast(rows.select("h").distinct().orderBy("h").limit(limit))  # a fixed number of digests
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, block in _blocks(batches, 0):
+            w, h, _, _ = sequences(block)
+            for kind, key in ((0, w), (1, bigram_key(h, w))):
+                k, n = _sum_by(key, np.ones(len(key), np.int64))
+                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+    got = rows.join(picked, "h", "left_semi").select("text").mapInArrow(count, "kind int, key long, n long")
+    got = got.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 3")
+    top = [got.where(F.col("kind") == k).orderBy(F.desc("n"), "key").limit(n).select("kind", "key") for k, n in ((0, COMMON_WORDS - 2), (1, COMMON_PAIRS))]
+    found = top[0].union(top[1]).collect()  # fixed numbers of keys
+    pick = lambda kind, *more: np.unique(np.array([r["key"] & (2**64 - 1) for r in found if r["kind"] == kind] + list(more), _U64))
+    return pick(0, BEGIN, END), pick(1)
+
+
 def count_bigrams(texts: DataFrame, layout: Layout) -> DataFrame:
     """Merged ``bigrams`` rows, with their counts of counts."""
 
@@ -339,11 +363,72 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas,
     return scratch.write(done, name, ("kind",), "none")
 
 
-def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
+@dataclass(frozen=True)
+class Common:
+    """Values of common words (three columns, backoff in the last) and gains of common bigrams, by sorted keys."""
+
+    words: np.ndarray
+    values: np.ndarray
+    pairs: np.ndarray
+    gains: np.ndarray
+
+
+def common_values(words: DataFrame, model: DataFrame, rules: Formulas, keys: tuple[np.ndarray, np.ndarray]) -> Common:
+    """Looks the keys up in the stored tables; a bounded number of rows comes back."""
+
+    def found(own: np.ndarray, all_: np.ndarray) -> np.ndarray:
+        at, known = _look(own, all_)
+        return np.flatnonzero(known)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for table, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                p = split_parts(payload)
+                k = unpack_sorted(p[0])
+                at = found(keys[1] if table == 2 else keys[0], k)
+                a, b = np.zeros(len(at)), np.zeros(len(at))
+                if table == 0:
+                    a, b = unpack(p[1], np.int64)[at].astype(float), unpack(p[2], np.int64)[at].astype(float)
+                elif table == 1:
+                    a = np.frombuffer(p[1], np.float64)[at]
+                elif len(at):
+                    run, c, f = (unpack(x, t)[at] for x, t in zip(p[1:4], (np.uint32, np.int64, np.int64), strict=True))
+                    a = rules.gain(c, f, np.frombuffer(p[4], np.float64).reshape(int(unpack(p[1], np.uint32).max()) + 1, -1)[run])
+                yield pa.record_batch([pa.array(np.full(len(at), table, np.int32)), pa.array(k[at].view(np.int64)), pa.array(a), pa.array(b)], ["table", "key", "a", "b"])
+
+    part = lambda df, kind, table: df.where(F.col("kind") == kind).select(F.lit(table).alias("table"), "payload")
+    stored = part(words, 0, 0).union(part(model, 1, 1)).union(part(model, 0, 2))
+    rows = stored.mapInArrow(find, "table int, key long, a double, b double").distinct().collect()  # a few rows a key at most
+    c, n, back, gain = np.zeros(len(keys[0]), np.int64), np.zeros(len(keys[0]), np.int64), np.zeros(len(keys[0])), np.zeros(len(keys[1]))
+    for r in rows:
+        at = int(np.searchsorted(keys[1] if r["table"] == 2 else keys[0], np.uint64(r["key"] & (2**64 - 1))))
+        if r["table"] == 0:
+            c[at], n[at] = int(r["a"]), int(r["b"])
+        elif r["table"] == 1:
+            back[at] = r["a"]
+        else:
+            gain[at] = r["a"]
+    values = rules.value(c, n, c > 0)
+    values[keys[0] == _U64(BEGIN)] = 0
+    values[:, 2] += back
+    return Common(keys[0], values, keys[1], gain)
+
+
+def _look(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands among sorted keys, and whether it does."""
+    if not len(keys):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    at = np.searchsorted(keys, want)
+    at[at == len(keys)] = 0
+    return at, keys[at] == want
+
+
+def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, common: Common, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
     """Per row of ``doc_id, text``, and ``tag`` (string) if there: ``doc_id, n_tokens, s0, s1, s2`` and ``tag``.
 
     s0 and s1 are sums of ``rules.value``'s first two columns; s2 is the model's score. ``seen``,
     packed bits of the model's bigram keys, spares sending bigrams that the model can't hold. Tables ``spent`` are dropped once the words are done.
+    What is ``common`` is summed where the text is read, so that only rarer words and bigrams travel.
     Postings of a word shard and of a bigram shard are dealt by block over so many ``parts``, each with a copy of the shard of a small model.
     """
     bits = int(np.log2(len(seen) * 8)) if seen is not None else 0
@@ -363,7 +448,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
             digest.update(t)
         return digest.digest(), packed
 
-    def postings(key: np.ndarray, d: np.ndarray, shard_of, shards: int, block: bytes, head: bytes, always: bool) -> list[tuple[int, bytes, bytes]]:
+    def postings(key: np.ndarray, d: np.ndarray, shard_of, shards: int, block: bytes, head: bytes, own: np.ndarray, always: bool) -> list[tuple[int, bytes, bytes]]:
         order = np.argsort(key, kind="stable")
         key, d = key[order], d[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -372,12 +457,13 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         by = np.argsort(shard, kind="stable")
         kind = np.uint16 if len(d) == 0 or int(d.max()) < 1 << 16 else np.uint32
         runs = [(s, by[g]) for s, g in _runs(shard[by])]
-        if always and (not runs or runs[0][0] != 0):
-            runs.insert(0, (0, by[:0]))  # the head goes with the first shard
+        first = int.from_bytes(block[6:12]) % shards
+        if not any(s == first for s, _ in runs):
+            runs.append((first, by[:0]))  # the head and what the task knew itself go with one of the shards
         rows = []
         for s, g in runs:
             take = np.repeat(at[g] - np.concatenate([[0], np.cumsum(n[g])[:-1]]).astype(np.int64), n[g]) + np.arange(int(n[g].sum())) if len(g) else np.zeros(0, np.int64)
-            rows.append((s, block, join_parts([head if s == 0 and always else b"", pack_sorted(key[at[g]]), pack(n[g].astype(np.uint32)), np.array([np.dtype(kind).itemsize], np.int64).tobytes(), pack(d[take].astype(kind)), np.int64(docs_in(head)).tobytes()])))
+            rows.append((s, block, join_parts([head if s == first and always else b"", pack_sorted(key[at[g]]), pack(n[g].astype(np.uint32)), np.array([np.dtype(kind).itemsize], np.int64).tobytes(), pack(d[take].astype(kind)), np.int64(docs_in(head)).tobytes(), own.tobytes() if s == first else b""])))
         return rows
 
     def docs_in(head: bytes) -> int:
@@ -392,8 +478,10 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         for batch, texts in _blocks(batches, 1):
             w, h, d, size = sequences(texts)
             block, head = header(batch, texts, size)
-            begins = np.full(len(texts), BEGIN, _U64)
-            yield as_batch(postings(np.concatenate([w, begins]), np.concatenate([d, np.arange(len(texts))]), lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, True), layout.word_shards, parts[0])
+            key, d = np.concatenate([w, np.full(len(texts), BEGIN, _U64)]), np.concatenate([d, np.arange(len(texts))])
+            at, known = _look(common.words, key)
+            own = np.stack([np.bincount(d[known], common.values[at[known], j], len(texts)) for j in range(3)]).astype(np.float64)
+            yield as_batch(postings(key[~known], d[~known], lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, own, True), layout.word_shards, parts[0])
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.unpackbits(seen).astype(bool) if seen is not None else None
@@ -404,19 +492,15 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
             if table is not None:
                 keep = np.flatnonzero(table[(key >> _U64(64 - bits)).astype(np.int64)])
                 key, w, h, d = key[keep], w[keep], h[keep], d[keep]
-            yield as_batch(postings(key, d, lambda k, i: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, False), layout.shards, parts[1])
+            at, known = _look(common.pairs, key)
+            own = np.bincount(d[known], common.gains[at[known]], len(texts)).astype(np.float64)
+            key, w, h, d = key[~known], w[~known], h[~known], d[~known]
+            yield as_batch(postings(key, d, lambda k, i: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, own, False), layout.shards, parts[1])
 
     def opened(payload: bytes):
         p = split_parts(payload)
         kind = np.uint16 if int(np.frombuffer(p[3], np.int64)[0]) == 2 else np.uint32
-        return p[0], unpack_sorted(p[1]), unpack(p[2], np.uint32).astype(np.int64), unpack(p[4], kind).astype(np.int64), int(np.frombuffer(p[5], np.int64)[0])
-
-    def look(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(keys):
-            return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
-        at = np.searchsorted(keys, want)
-        at[at == len(keys)] = 0
-        return at, keys[at] == want
+        return p[0], unpack_sorted(p[1]), unpack(p[2], np.uint32).astype(np.int64), unpack(p[4], kind).astype(np.int64), int(np.frombuffer(p[5], np.int64)[0]), np.frombuffer(p[6], np.float64)
 
     def sums_table(rows: list[tuple[bytes, bytes, bytes]]) -> pa.Table:
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
@@ -437,14 +521,16 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         fw, fb = fw[order], fb[order]
         rows = []
         for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist(), strict=True):
-            head, k, times, d, size = opened(payload)
-            at, known = look(w, k)
+            head, k, times, d, size, own = opened(payload)
+            at, known = _look(w, k)
             zero = np.zeros(len(k), np.int64)
             cols = rules.value(c[at] * known if len(c) else zero, n[at] * known if len(n) else zero, known)
             cols[k == _U64(BEGIN)] = 0
-            at, has = look(fw, k)
+            at, has = _look(fw, k)
             cols[:, 2] += fb[at] * has if len(fb) else 0
-            sums = np.stack([np.bincount(d, np.repeat(cols[:, j], times), size) for j in range(3)])
+            sums = np.stack([np.bincount(d, np.repeat(cols[:, j], times), size) for j in range(3)]).astype(np.float64)
+            if len(own):
+                sums += own.reshape(3, -1)
             rows.append((block, head, sums.tobytes()))
         return sums_table(rows)
 
@@ -456,12 +542,13 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
             s = np.frombuffer(p[4], np.float64).reshape(int(run.max()) + 1, -1)
         rows = []
         for block, payload in zip(left.column("block").to_pylist(), left.column("payload").to_pylist(), strict=True):
-            _, k, times, d, size = opened(payload)
-            at, known = look(keys, k)
+            _, k, times, d, size, own = opened(payload)
+            at, known = _look(keys, k)
             at, v = at[known], np.zeros(len(k))
             if len(at):
                 v[known] = rules.gain(c[at], f[at], s[run[at]])
-            rows.append((block, b"", np.bincount(d, np.repeat(v, times), size).tobytes()))
+            sums = np.bincount(d, np.repeat(v, times), size).astype(np.float64)
+            rows.append((block, b"", (sums + own if len(own) else sums).tobytes()))
         return sums_table(rows)
 
     def total(table: pa.Table) -> pa.Table:
