@@ -179,7 +179,7 @@ def _pack(shards: int, width: int, t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), np.asarray(batch.column(0), dtype=np.int64)
-            for a, b in chunks(texts, 4 << 20):
+            for a, b in chunks(texts, 2 << 20):
                 rows: list[tuple[int, int, bytes]] = []
                 sets = shingle_sets(texts[a:b], width)
                 sig = np.zeros((b - a, 4), np.int64)
@@ -446,9 +446,11 @@ class JaccardJoin:
         return listed
 
     def _blocks(self, rows: DataFrame, sketch: DataFrame) -> DataFrame:
-        rows = rows.withColumn("cols", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("bars", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"))
+        # most pieces fit one block; larger ones are laid out as a grid of blocks
+        one = [rows.where(f"total <= {BLOCK}").where(f"{r} = 0 or comp <> main").select("key", "rep", "comp", F.lit(r).alias("role"), F.lit(0).alias("x"), F.lit(0).alias("y")) for r in (0, 1)]
+        rows = rows.where(f"total > {BLOCK}").withColumn("cols", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("bars", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"))
         place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
         every = rows.select("key", "rep", "comp", F.lit(0).alias("role"), place("cols").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("y"))
         rest = rows.where("comp <> main").select("key", "rep", "comp", F.lit(1).alias("role"), place("bars").alias("y"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
-        laid = every.unionByName(rest).join(sketch.withColumnRenamed("doc_id", "rep"), "rep")
+        laid = one[0].unionByName(one[1]).unionByName(every).unionByName(rest).join(sketch.withColumnRenamed("doc_id", "rep"), "rep")
         return laid.groupBy("key", "x", "y").applyInArrow(_block_pairs(Threshold(self.num, self.den)), "u long, v long")
