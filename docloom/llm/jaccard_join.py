@@ -42,8 +42,8 @@ _GROW = 1.5
 BROADCAST_IDS = 2_000_000
 #: Members of one piece whose open pairs are listed as rows; those of larger ones are compared by sketch.
 LISTED = 8
-#: Members that meet in one comparison by sketch: half a megabyte of sketches for texts of common length.
-BLOCK = 4096
+#: Members that meet in one comparison by sketch; bounds what near pairs a task holds at a time.
+BLOCK = 1024
 #: Members of one piece above which it is split by further cuts; how often at most, and by what factor a cut must lessen the comparisons to be taken.
 SPLIT, LEVELS, GAIN = 4096, 6, 2.0
 
