@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .jaccard_join import shard_count
-from .ngram_shards import LARGEST, Figures, Layout, common_keys, common_values, count_bigrams, count_words, fold_of, frequent_first_words, score, weigh
+from .ngram_shards import LARGEST, Figures, Layout, Sample, common_values, count_bigrams, count_words, fold_of, score, weigh
 from .storage import Scratch
 
 
@@ -79,7 +79,8 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     shards = shard_count(docs, 2 << 20)
     train = docs.where(fold_of(F.col("doc_id"), 5) != 1).select("text")
-    layout = Layout(shards, max(4, shards // 8), frequent_first_words(train, shards))
+    sample = Sample.of(train)
+    layout = Layout(shards, max(4, shards // 8), sample.hot(shards))
     bigrams = scratch.write(count_bigrams(train, layout), "bigrams", codec="none")
     words = scratch.write(count_words(bigrams, layout), "words", ("kind",), "none")
     figures = Figures.of(bigrams, words)
@@ -87,7 +88,7 @@ def score_documents(docs: DataFrame, scratch: Scratch | None = None) -> DataFram
     model = weigh(bigrams, words, layout, katz, scratch, "model")
     scratch.drop("bigrams")
     scratch.drop("words/kind=1")  # the answers have been used
-    common = common_values(words, model, katz, common_keys(train))
+    common = common_values(words, model, katz, sample)
     got = score(docs, words, model, layout, katz, scratch, common, spent=("words", "model/kind=1"))
     scratch.keep("sums-words", "sums-pairs")
     return got.select(

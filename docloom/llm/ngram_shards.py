@@ -163,47 +163,48 @@ class Layout:
     hot: tuple[np.ndarray, np.ndarray]
 
 
-def frequent_first_words(texts: DataFrame, shards: int, limit: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """First words of over one shard's share of tokens, by a sample of ``limit`` texts; any answer is right, this one is even."""
-    rows = texts.where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text")
-    picked = F.broadcast(rows.select("h").distinct().orderBy("h").limit(limit))  # a fixed number of digests
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, 0):
-            _, h, _, _ = sequences(block)
-            k, n = _sum_by(h, np.ones(len(h), np.int64))
-            keep = n * shards * 4 > n.sum()
-            yield pa.record_batch([pa.array(k[keep].view(np.int64)), pa.array(n[keep]), pa.array(np.where(np.arange(keep.sum()) == 0, n.sum(), 0))], ["h", "n", "total"])
-
-    got = rows.join(picked, "h", "left_semi").select("text").mapInArrow(count, "h long, n long, total long")
-    got = got.groupBy("h").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()  # few a shard
-    total = sum(r["total"] for r in got)
-    found = sorted((np.uint64(r["h"] & (2**64 - 1)), -(-r["n"] * shards // total)) for r in got if r["n"] * shards > total)
-    return np.array([f[0] for f in found], _U64), np.array([f[1] for f in found], np.int64)
-
-
 #: Words and bigrams, commonest in a sample, whose values every task knows.
 COMMON_WORDS, COMMON_PAIRS = 2048, 16384
 
 
-def common_keys(texts: DataFrame, limit: int = 2000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the words and bigrams that are commonest in ``limit`` texts; any answer is right, this one saves most."""
-    rows = texts.where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text")
-    picked = F.broadcast(rows.select("h").distinct().orderBy("h").limit(limit))  # a fixed number of digests
+@dataclass(frozen=True)
+class Sample:
+    """Keys of the words and bigrams that are commonest in some texts, the words' counts, and the texts' tokens."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, block in _blocks(batches, 0):
-            w, h, _, _ = sequences(block)
-            for kind, key in ((0, w), (1, bigram_key(h, w))):
-                k, n = _sum_by(key, np.ones(len(key), np.int64))
-                yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+    words: np.ndarray
+    counts: np.ndarray
+    pairs: np.ndarray
+    tokens: int
 
-    got = rows.join(picked, "h", "left_semi").select("text").mapInArrow(count, "kind int, key long, n long")
-    got = got.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 3")
-    top = [got.where(F.col("kind") == k).orderBy(F.desc("n"), "key").limit(n).select("kind", "key") for k, n in ((0, COMMON_WORDS - 2), (1, COMMON_PAIRS))]
-    found = top[0].union(top[1]).collect()  # fixed numbers of keys
-    pick = lambda kind, *more: np.unique(np.array([r["key"] & (2**64 - 1) for r in found if r["kind"] == kind] + list(more), _U64))
-    return pick(0, BEGIN, END), pick(1)
+    @staticmethod
+    def of(texts: DataFrame, limit: int = 2000) -> Sample:
+        """From ``limit`` texts, those of the smallest digests; any answer is right, this one saves most."""
+        rows = texts.where("length(text) > 0").select(F.xxhash64("text").alias("h"), "text")
+        picked = F.broadcast(rows.select("h").distinct().orderBy("h").limit(limit))  # a fixed number of digests
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, block in _blocks(batches, 0):
+                w, h, _, _ = sequences(block)
+                for kind, key in ((0, w), (1, bigram_key(h, w)), (2, np.zeros(len(w), _U64))):
+                    k, n = _sum_by(key, np.ones(len(key), np.int64))
+                    yield pa.record_batch([pa.array(np.full(len(k), kind, np.int32)), pa.array(k.view(np.int64)), pa.array(n)], ["kind", "key", "n"])
+
+        got = rows.join(picked, "h", "left_semi").select("text").mapInArrow(count, "kind int, key long, n long")
+        got = got.groupBy("kind", "key").agg(F.sum("n").alias("n")).where("n > 3 or kind = 2")
+        top = [got.where(F.col("kind") == k).orderBy(F.desc("n"), "key").limit(n) for k, n in ((0, COMMON_WORDS), (1, COMMON_PAIRS), (2, 1))]
+        found = top[0].union(top[1]).union(top[2]).collect()  # fixed numbers of keys
+        of = lambda kind: sorted((r["key"] & (2**64 - 1), r["n"]) for r in found if r["kind"] == kind)
+        word, pair, all_ = of(0), of(1), of(2)
+        array = lambda rows, i, t: np.array([r[i] for r in rows], t)
+        return Sample(array(word, 0, _U64), array(word, 1, np.int64), array(pair, 0, _U64), all_[0][1] if all_ else 0)
+
+    def hot(self, shards: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of over one shard's share of tokens, and the shards that each is spread over."""
+        at = np.flatnonzero(self.counts * shards > self.tokens)
+        # a text's begin comes before as many words as its end is
+        keys = np.where(self.words[at] == _U64(END), _U64(BEGIN), self.words[at])
+        order = np.argsort(keys)
+        return keys[order], -(-self.counts[at][order] * shards // max(self.tokens, 1))
 
 
 def count_bigrams(texts: DataFrame, layout: Layout) -> DataFrame:
@@ -373,8 +374,9 @@ class Common:
     gains: np.ndarray
 
 
-def common_values(words: DataFrame, model: DataFrame, rules: Formulas, keys: tuple[np.ndarray, np.ndarray]) -> Common:
-    """Looks the keys up in the stored tables; a bounded number of rows comes back."""
+def common_values(words: DataFrame, model: DataFrame, rules: Formulas, sample: Sample) -> Common:
+    """Looks the sample's keys up in the stored tables; a bounded number of rows comes back."""
+    keys = np.unique(np.concatenate([sample.words, np.array([BEGIN, END], _U64)])), sample.pairs
 
     def found(own: np.ndarray, all_: np.ndarray) -> np.ndarray:
         at, known = _look(own, all_)

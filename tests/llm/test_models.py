@@ -79,7 +79,8 @@ def test_katz_spreads_a_frequent_word(spark):
     """A first word of a third of all tokens is dealt over shards; scores don't change."""
     text = " ".join(f"hot w{i}" for i in range(3000))
     df = spark.createDataFrame([(i, text if i % 2 else f"hot a{i} hot b") for i in range(20)], "doc_id long, text string")
-    words, spread = ngram_shards.frequent_first_words(df, 8)
+    sample = ngram_shards.Sample.of(df)
+    words, spread = sample.hot(8)
     assert len(words) >= 1 and spread.max() >= 3
     train = df.select("text")
     results = []
@@ -90,7 +91,7 @@ def test_katz_spreads_a_frequent_word(spark):
         counts = scratch.write(ngram_shards.count_words(bigrams, layout), "w", ("kind",))
         model = katz.Katz(ngram_shards.Figures.of(bigrams, counts))
         weights = ngram_shards.weigh(bigrams, counts, layout, model, scratch, "m")
-        known = ngram_shards.common_values(counts, weights, model, ngram_shards.common_keys(train) if len(results) else (ngram_shards.common_keys(train)[0][:0], words[:0]))
+        known = ngram_shards.common_values(counts, weights, model, sample if len(results) else ngram_shards.Sample(words[:0], spread[:0], words[:0], 0))
         got = ngram_shards.score(df, counts, weights, layout, model, scratch, known).collect()
         results.append({r["doc_id"]: r["s2"] for r in got})
     assert results[0] == pytest.approx(results[1], rel=1e-9)
