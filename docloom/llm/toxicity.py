@@ -91,7 +91,7 @@ class CompressionToxicity:
     ordinary: bytes
     weights: tuple[float, ...]
     width: int = 32
-    step: int = 16
+    step: int = 24
     threshold: float = 0.3
 
     @staticmethod

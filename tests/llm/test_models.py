@@ -296,8 +296,8 @@ def test_window_lengths_are_those_of_plain_compression():
     model = tox.CompressionToxicity(a, b, (0.0,) * 10)
     for t, got in zip(texts, model.features(texts), strict=True):
         cuts = [t[:32]] if t else []
-        while t and 16 * (len(cuts) - 1) + 32 < len(t):
-            cuts.append(t[16 * len(cuts) : 16 * len(cuts) + 32])
+        while t and 24 * (len(cuts) - 1) + 32 < len(t):
+            cuts.append(t[24 * len(cuts) : 24 * len(cuts) + 32])
         gains = [len(tox.compressor(b).compress(c)) - len(tox.compressor(a).compress(c)) for c in cuts]
         n = max(len(cuts), 1)
         assert got[1:-2] == pytest.approx([math.sqrt(sum(g >= k for g in gains) / n) for k in tox.THRESHOLDS])
