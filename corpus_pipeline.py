@@ -43,13 +43,15 @@ def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    return Decontaminator().clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    clean = Decontaminator().clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return Scratch(spark, "clean").write(clean, "docs")  # in small batches for Python
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced and n_chars set anew."""
     clean = redact(docs, SecretTagger.fit(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    return Scratch(spark, "hidden").write(clean, "docs")  # in small batches for Python
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

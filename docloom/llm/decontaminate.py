@@ -28,6 +28,8 @@ _SHIFT = 1 << 40
 BLOCK_BYTES = 8 << 20
 #: Pairs of equal grams that are held at a time.
 PAIRS = 1 << 20
+#: Rows of a batch whose texts are taken out at a time.
+ROWS = 512
 
 
 def fold(text: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -295,8 +297,10 @@ class Decontaminator:
 
             def run(batches: Iterator[pa.RecordBatch], index: _Index = index) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    keep = [not x for x in self._leaks(as_bytes(batch.column(at)), index)]
-                    yield batch.filter(pa.array(keep, pa.bool_()))
+                    for first in range(0, batch.num_rows, ROWS):  # few texts are held twice at a time
+                        part = batch.slice(first, ROWS)
+                        keep = [not x for x in self._leaks(as_bytes(part.column(at)), index)]
+                        yield part.filter(pa.array(keep, pa.bool_()))
 
             docs = docs.mapInArrow(run, docs.schema)
             if more:
