@@ -16,9 +16,10 @@ then tested against one member of it, and what pairs of different components
 still share a piece are tested last. Every pair's sketches of about a bit a
 shingle are compared before its sets are read. A piece that very many unlinked
 sets share is first split by further cuts of the same sets, under each of which
-linked ones agree again; what remains meets in bounded blocks whose sketches are
-compared in memory, so that only near pairs become rows. So no group is expanded
-into its pairs, and no link is lost.
+linked ones agree again; what remains meets in bounded blocks. Their sketches are
+compared in memory, and members that are near another one meet once more with
+their sets, of which only links that join components come out. So no group is
+expanded into its pairs, and no link is lost.
 """
 
 from __future__ import annotations
@@ -42,8 +43,10 @@ _GROW = 1.5
 BROADCAST_IDS = 2_000_000
 #: Members of one piece whose open pairs are listed as rows; those of larger ones are compared by sketch.
 LISTED = 8
-#: Members that meet in one comparison by sketch; bounds what near pairs a task holds at a time.
-BLOCK = 1024
+#: Members of each side of one comparison, and bytes that the sets of a side may have: what a task holds at a time.
+BLOCK, BLOCK_BYTES = 1024, 32 << 20
+#: Pieces that a member names in a block, so that a pair is taken up in one piece only.
+PIECES = 64
 #: Members of one piece above which it is split by further cuts; how often at most, and by what factor a cut must lessen the comparisons to be taken.
 SPLIT, LEVELS, GAIN = 4096, 6, 2.0
 
@@ -293,45 +296,81 @@ def _close(t: Threshold):
     return run
 
 
+def _links(a: np.ndarray, b: np.ndarray, t: Threshold) -> bool:
+    """Whether two sorted sets link."""
+    if not len(a) or min(len(a), len(b)) * t.den < max(len(a), len(b)) * t.num:
+        return False
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    common = int((b[at] == a).sum())
+    return common > 0 and t.linked(len(a), len(b), common)
+
+
 def _verified(t: Threshold):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = 0
-                if min(len(a), len(b)) * t.den >= max(len(a), len(b)) * t.num and len(a):
-                    at = np.searchsorted(b, a)
-                    at[at == len(b)] = 0
-                    common = int((b[at] == a).sum())
-                keep.append(common > 0 and t.linked(len(a), len(b), common))
+            keep = [_links(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), t) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
             yield pa.record_batch([out.column(0), out.column(1)], ["u", "v"])
 
     return run
 
 
-def _block_pairs(t: Threshold):
-    """Of one block of a piece: pairs of different components whose sketches are near enough."""
+def _near(table: pa.Table, t: Threshold, size: np.ndarray, sketch: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one block: each row of role 1, and the rows of role 0 that may link with it, nearest sketches first.
+
+    Pairs of one component are left out, and pairs that name a common smaller piece, as they meet there too.
+    """
+    role, comp, free = (np.asarray(table.column(c)) for c in ("role", "comp", "free"))
+    ids, key = np.asarray(table.column("rep")), table.column("key")[0].as_py()
+    words = min(map(len, sketch))
+    sketch = [_folded(x, words) for x in sketch]
+    every, pieces, smaller = np.flatnonzero(role == 0), table.column("pieces"), {}
+
+    def below(i: int) -> frozenset[int]:
+        if i not in smaller:
+            smaller[i] = frozenset(k for k in pieces[i].as_py() if k < key)
+        return smaller[i]
+
+    wide = np.stack([sketch[i] for i in every]) if len(every) else np.zeros((0, words), np.uint64)
+    for r in np.flatnonzero(role == 1).tolist():
+        apart = np.bitwise_count(wide ^ sketch[r]).sum(axis=1, dtype=np.int64)
+        most = (size[every] + size[r]) * (t.den - t.num) // (t.den + t.num)
+        # two members outside the largest component meet in both roles
+        hit = np.flatnonzero((apart <= most) & (comp[every] != comp[r]) & (~free[every] | (ids[every] < ids[r])))
+        hit = every[hit[np.argsort(apart[hit], kind="stable")]]
+        own = np.array([i for i in hit.tolist() if below(r).isdisjoint(below(i))], np.int64)
+        if len(own):
+            yield r, own
+
+
+def _block_members(t: Threshold):
+    """Of one block of a piece: the members that are near another one by sketch."""
 
     def run(table: pa.Table) -> pa.Table:
-        role, comp = np.asarray(table.column("role")), np.asarray(table.column("comp"))
-        ids, size = np.asarray(table.column("rep")), np.asarray(table.column("n"))
         sketch = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sketch")]
-        words = min(map(len, sketch), default=1)
-        sketch = [_folded(x, words) for x in sketch]
-        every, rest = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        found = [np.append(own, r) for r, own in _near(table, t, np.asarray(table.column("n")), sketch)]
+        at = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        out = table.select(["key", "x", "y", "role", "rep", "comp", "free"]).take(pa.array(at))
+        return out.append_column("pieces", table.column("pieces").take(pa.array(at)).cast(pa.list_(pa.int64())))
+
+    return run
+
+
+def _block_links(t: Threshold):
+    """Of one block's near members with their sets: links that join components, so fewer than members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, label = np.asarray(table.column("rep")), np.asarray(table.column("comp")).copy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("elements")]
         us, vs = [], []
-        if len(every) and len(rest):
-            wide = np.stack([sketch[i] for i in every])
-            for r in rest:
-                apart = np.bitwise_count(wide ^ sketch[r]).sum(axis=1, dtype=np.int64)
-                most = (size[every] + size[r]) * (t.den - t.num) // (t.den + t.num)
-                hit = every[(apart <= most) & (comp[every] != comp[r])]
-                us.append(np.maximum(ids[hit], ids[r]))
-                vs.append(np.minimum(ids[hit], ids[r]))
-        cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        return pa.table({"u": pa.array(cat(us)), "v": pa.array(cat(vs))})
+        for r, own in _near(table, t, np.array([len(s) for s in sets], np.int64), [np.frombuffer(_sketch(s), np.uint64) for s in sets]):
+            for i in own.tolist():
+                if label[i] != label[r] and _links(sets[i], sets[r], t):
+                    us.append(max(ids[i], ids[r]))
+                    vs.append(min(ids[i], ids[r]))
+                    label[label == label[i]] = label[r]
+        return pa.table({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
 
     return run
 
@@ -377,9 +416,14 @@ class JaccardJoin:
             open_ = self._mixed(placed, scratch, f"mixed-{k}")
             if open_.isEmpty():
                 break
-            more = scratch.write(pairs(docs, open_, sketch, scratch).distinct().join(tested, ["u", "v"], "left_anti"), f"tested-{k}")
+            if k == 3:
+                open_ = self._split(docs, open_, scratch)
+            more = scratch.write(pairs(open_).distinct().join(tested, ["u", "v"], "left_anti"), f"tested-{k}")
             tested = tested.union(more)
-            comp = merged(comp, self._verify(docs, more, sketch, scratch, f"links-{k}"), scratch, f"cc{k}")
+            links = self._verify(docs, more, sketch, scratch, f"links-{k}")
+            if k == 3:
+                links = links.unionByName(self._blocks(docs, open_, sketch, scratch))
+            comp = merged(comp, links, scratch, f"cc{k}")
         comp = scratch.write(comp, "components")
         scratch.keep("member", "components")
         return lookup(member, comp.withColumnRenamed("vertex", "rep"), ["rep"], 16, "left").select(
@@ -411,7 +455,7 @@ class JaccardJoin:
         return scratch.write(placed.join(mixed.where("comps > 1").drop("comps"), "key"), name)
 
     @staticmethod
-    def _second_hubs(docs: DataFrame, rows: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
+    def _second_hubs(rows: DataFrame) -> DataFrame:
         """Members outside a piece's largest component against one member of it."""
         return rows.where("comp <> main").select(F.greatest("rep", "hub").alias("u"), F.least("rep", "hub").alias("v"))
 
@@ -433,24 +477,33 @@ class JaccardJoin:
             small, large = small.unionByName(cut.where(F.col("total") <= SPLIT)), cut.where(F.col("total") > SPLIT)
         return small.unionByName(large)
 
-    def _open_pairs(self, docs: DataFrame, rows: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
-        """All pairs of different components that share a piece."""
-        rows = self._split(docs, rows, scratch)
-        rest = rows.where("comp <> main")
-        a, b = rows.where(f"total <= {LISTED}").alias("a"), rest.where(f"total <= {LISTED}").alias("b")
+    @staticmethod
+    def _open_pairs(rows: DataFrame) -> DataFrame:
+        """All pairs of different components that share a small piece."""
+        rows = rows.where(f"total <= {LISTED}")
+        a, b = rows.alias("a"), rows.where("comp <> main").alias("b")
         listed = a.join(b, F.col("a.key") == F.col("b.key")).where("a.comp <> b.comp")
-        listed = listed.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v"))
-        large = rows.where(f"total > {LISTED}")
-        if not large.isEmpty():
-            listed = listed.union(self._blocks(large, sketch))
-        return listed
-
-    def _blocks(self, rows: DataFrame, sketch: DataFrame) -> DataFrame:
+        return listed.select(F.greatest("a.rep", "b.rep").alias("u"), F.least("a.rep", "b.rep").alias("v"))
+
+    def _blocks(self, docs: DataFrame, rows: DataFrame, sketch: DataFrame, scratch: Scratch) -> DataFrame:
+        """Links that join the components of larger pieces; rows out follow members, not pairs."""
+        t, rows = Threshold(self.num, self.den), rows.where(f"total > {LISTED}")
+        edges = _bands(1 << 40)
+        most = [max(min(BLOCK, BLOCK_BYTES // (8 * edges[b + 1])), min(BLOCK, 16)) for b in range(64)]
+        band = F.col("key").bitwiseAND(63).cast("int")
+        rows = rows.select("key", "rep", "comp", "total", "most", (F.col("comp") != F.col("main")).alias("free"), F.element_at(F.array(*map(F.lit, most)), band + 1).alias("block"))
         # most pieces fit one block; larger ones are laid out as a grid of blocks
-        one = [rows.where(f"total <= {BLOCK}").where(f"{r} = 0 or comp <> main").select("key", "rep", "comp", F.lit(r).alias("role"), F.lit(0).alias("x"), F.lit(0).alias("y")) for r in (0, 1)]
-        rows = rows.where(f"total > {BLOCK}").withColumn("cols", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("bars", F.ceil((F.col("total") - F.col("most")) / BLOCK).cast("int"))
+        one = [rows.where("total <= block").where(f"{r} = 0 or free").select("key", "rep", "comp", "free", F.lit(r).alias("role"), F.lit(0).alias("x"), F.lit(0).alias("y")) for r in (0, 1)]
+        wide = rows.where("total > block").withColumn("cols", F.ceil(F.col("total") / F.col("block")).cast("int")).withColumn("bars", F.ceil((F.col("total") - F.col("most")) / F.col("block")).cast("int"))
         place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-        every = rows.select("key", "rep", "comp", F.lit(0).alias("role"), place("cols").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("y"))
-        rest = rows.where("comp <> main").select("key", "rep", "comp", F.lit(1).alias("role"), place("bars").alias("y"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
-        laid = one[0].unionByName(one[1]).unionByName(every).unionByName(rest).join(sketch.withColumnRenamed("doc_id", "rep"), "rep")
-        return laid.groupBy("key", "x", "y").applyInArrow(_block_pairs(Threshold(self.num, self.den)), "u long, v long")
+        every = wide.select("key", "rep", "comp", "free", F.lit(0).alias("role"), place("cols").alias("x"), F.explode(F.sequence(F.lit(0), F.col("bars") - 1)).alias("y"))
+        rest = wide.where("free").select("key", "rep", "comp", "free", F.lit(1).alias("role"), place("bars").alias("y"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("x"))
+        # the smallest of a member's pieces tell nearly always where a pair meets first; if not, it is compared again
+        about = rows.groupBy("rep").agg(F.slice(F.sort_array(F.collect_set("key")), 1, PIECES).alias("pieces")).join(sketch.withColumnRenamed("doc_id", "rep"), "rep")
+        laid = one[0].unionByName(one[1]).unionByName(every).unionByName(rest).join(about, "rep")
+        near = laid.groupBy("key", "x", "y").applyInArrow(_block_members(t), "key long, x int, y int, role int, rep long, comp long, free boolean, pieces array<long>")
+        near = scratch.write(near, "near")
+        ids = scratch.write(near.select(F.col("rep").alias("doc_id")).distinct(), "near-ids")
+        sets = scratch.write(_only(docs, ids).mapInArrow(_sets(self.width), "doc_id long, elements binary"), "near-sets")
+        links = near.join(sets.withColumnRenamed("doc_id", "rep"), "rep").groupBy("key", "x", "y").applyInArrow(_block_links(t), "u long, v long")
+        return scratch.write(links, "block-links")

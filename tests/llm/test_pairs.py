@@ -57,6 +57,28 @@ def test_blocks_find_what_lists_find(docs, documents, monkeypatch):
     assert got == {i: c for i, (_, c) in classes([(r[0], r[1]) for r in documents], 3, 90, 100).items()}
 
 
+def test_blocks_give_links_and_not_pairs(spark, monkeypatch):
+    """Forty texts that nearly link with each of forty linked ones: rows follow the texts, not their pairs."""
+    rows = []
+    for i in range(80):
+        w, r = [f"w{k}" for k in range(200)], random.Random(i)
+        for k in r.sample(range(5, 195), 2 if i % 2 else 3):
+            w[k] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(w)))
+    made, write = {}, Scratch.write
+
+    def counted(self, df, name, *more, **named):
+        out = write(self, df, name, *more, **named)
+        made[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jj, "LISTED", 2)
+    monkeypatch.setattr(Scratch, "write", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jj.JaccardJoin(5, 80, 100).classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == classes(rows, 5, 80, 100)
+    assert made["tested-3"] + made.get("block-links", 0) < len(rows)
+
+
 def test_join_of_nested_sets(spark):
     """The largest id meets a smaller hub that it does not link with; its link shares pieces with it alone."""
     rows = []
