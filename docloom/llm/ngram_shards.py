@@ -425,6 +425,27 @@ def _look(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, keys[at] == want
 
 
+def sparse_sums(d: np.ndarray, values: list[np.ndarray], own: np.ndarray | None) -> bytes:
+    """Sums of one block's postings by document, and what its task knew itself; only documents that have any are named.
+
+    A shard holds a bounded number of postings, so what it sends back stays bounded however many documents there are.
+    """
+    at, place = np.unique(d, return_inverse=True)
+    sums = np.stack([np.bincount(place, v, len(at)) for v in values]).astype(np.float64)
+    if own is not None:
+        full = own.copy()
+        full[:, at] += sums
+        at, sums = np.arange(own.shape[1]), full
+    return join_parts([pack(np.diff(at, prepend=0).astype(np.uint32)), np.int64(len(values)).tobytes(), sums.tobytes()])
+
+
+def read_sums(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and their columns of ``sparse_sums``."""
+    p = split_parts(raw)
+    at = np.cumsum(unpack(p[0], np.uint32), dtype=np.int64)
+    return at, np.frombuffer(p[2], np.float64).reshape(int(np.frombuffer(p[1], np.int64)[0]), len(at))
+
+
 def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, common: Common, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
     """Per row of ``doc_id, text``, and ``tag`` (string) if there: ``doc_id, n_tokens, s0, s1, s2`` and ``tag``.
 
@@ -462,10 +483,10 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         first = int.from_bytes(block[6:12]) % shards
         if not any(s == first for s, _ in runs):
             runs.append((first, by[:0]))  # the head and what the task knew itself go with one of the shards
-        rows = []
+        rows, in_block = [], docs_in(head)
         for s, g in runs:
             take = np.repeat(at[g] - np.concatenate([[0], np.cumsum(n[g])[:-1]]).astype(np.int64), n[g]) + np.arange(int(n[g].sum())) if len(g) else np.zeros(0, np.int64)
-            rows.append((s, block, join_parts([head if s == first and always else b"", pack_sorted(key[at[g]]), pack(n[g].astype(np.uint32)), np.array([np.dtype(kind).itemsize], np.int64).tobytes(), pack(d[take].astype(kind)), np.int64(docs_in(head)).tobytes(), own.tobytes() if s == first else b""])))
+            rows.append((s, block, join_parts([head if s == first and always else b"", pack_sorted(key[at[g]]), pack(n[g].astype(np.uint32)), np.array([np.dtype(kind).itemsize], np.int64).tobytes(), pack(d[take].astype(kind)), np.int64(in_block).tobytes(), own.tobytes() if s == first else b""])))
         return rows
 
     def docs_in(head: bytes) -> int:
@@ -530,10 +551,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
             cols[k == _U64(BEGIN)] = 0
             at, has = _look(fw, k)
             cols[:, 2] += fb[at] * has if len(fb) else 0
-            sums = np.stack([np.bincount(d, np.repeat(cols[:, j], times), size) for j in range(3)]).astype(np.float64)
-            if len(own):
-                sums += own.reshape(3, -1)
-            rows.append((block, head, sums.tobytes()))
+            rows.append((block, head, sparse_sums(d, [np.repeat(cols[:, j], times) for j in range(3)], own.reshape(3, -1) if len(own) else None)))
         return sums_table(rows)
 
     def pair_sums(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -549,8 +567,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
             at, v = at[known], np.zeros(len(k))
             if len(at):
                 v[known] = rules.gain(c[at], f[at], s[run[at]])
-            sums = np.bincount(d, np.repeat(v, times), size).astype(np.float64)
-            rows.append((block, b"", (sums + own if len(own) else sums).tobytes()))
+            rows.append((block, b"", sparse_sums(d, [np.repeat(v, times)], own.reshape(1, -1) if len(own) else None)))
         return sums_table(rows)
 
     def total(table: pa.Table) -> pa.Table:
@@ -562,12 +579,9 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         ids, size, valid = (unpack(x, k) for x, k in zip(parts_, (np.int64, np.int64, np.uint8), strict=False))
         ids = np.cumsum(ids)
         sums = np.zeros((3, len(ids)))
-        for x in table.column("sums").to_pylist():
-            got = np.frombuffer(x, np.float64)
-            if len(got) == 3 * len(ids):
-                sums += got.reshape(3, -1)
-            else:
-                sums[2] += got
+        for x in table.column("sums"):
+            at, got = read_sums(x.as_buffer().to_pybytes())
+            sums[3 - len(got) :, at] += got
         times = len(heads)
         col = lambda x: np.tile(x, times)
         out = {"doc_id": pa.array(col(ids), mask=col(valid == 0)), "n_tokens": pa.array(col(size)), "s0": pa.array(col(sums[0] / times)), "s1": pa.array(col(sums[1] / times)), "s2": pa.array(col(sums[2] / times))}

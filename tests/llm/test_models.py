@@ -97,6 +97,26 @@ def test_katz_spreads_a_frequent_word(spark):
     assert results[0] == pytest.approx(results[1], rel=1e-9)
 
 
+def test_shards_answer_for_their_documents_only(spark, docs, monkeypatch):
+    """What all shards send back follows the postings, not shards times documents."""
+    made = {}
+    write = ngram_shards.Scratch.write
+
+    def sized(self, df, name, *more, **named):
+        out = write(self, df, name, *more, **named)
+        if name.startswith("sums-"):
+            made[name] = out.agg(F.sum(F.octet_length("sums"))).first()[0]
+        return out
+
+    monkeypatch.setattr(ngram_shards.Scratch, "write", sized)
+    df = spark.createDataFrame([(i, f"only{i}") for i in range(3000)], "doc_id long, text string").coalesce(1)
+    monkeypatch.setattr(katz, "shard_count", lambda *a: 64)
+    out = katz.score_documents(df)
+    assert out.count() == 3000 and out.where("n_tokens = 2").count() == 3000
+    # per shard and document 8 bytes of bigrams, and 24 of words: 2.1 MB over 64 and 8 shards, were they dense
+    assert made["sums-words"] + made["sums-pairs"] < 1_000_000
+
+
 def test_like_blocks_stay_apart(spark, tmp_path):
     """Files whose rows have the same ids and as many words, and repeated files: every row its own score."""
     rows = [(None, "a b c"), (None, "d d e"), (None, "a b c"), (7, "a b d"), (7, "f g h")]
