@@ -8,11 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .jaccard_join import BROADCAST_IDS
 from .lookups import lookup
 from .ngram_shards import Figures, Layout, Sample, common_values, count_bigrams, count_words, score, split_parts, unpack_sorted, weigh
 from .storage import Scratch
 
 _FILTER_BITS = 26
+#: Bigrams of a model up to which their keys are marked; beyond, all bigrams of the documents are sent.
+_FILTER_PAIRS = 1 << 24
+#: Trusted text behind one shard of the model.
+SHARD_BYTES = 4 << 20
 #: Text whose postings meet in one group, on average, when documents are scored.
 GROUP_BYTES = 32 << 20
 
@@ -64,7 +69,7 @@ class KneserNey:
 
 
 def _seen(model: DataFrame) -> np.ndarray:
-    """Packed bits of the bigram keys of a model of bounded size."""
+    """Packed bits of the bigram keys of a model of at most ``_FILTER_PAIRS`` bigrams."""
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(1 << _FILTER_BITS, bool)
@@ -74,7 +79,7 @@ def _seen(model: DataFrame) -> np.ndarray:
                 bits[at.astype(np.int64)] = True
         yield pa.record_batch([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
-    # the model is fitted on a bounded sample, so one task can mark its keys; one row of eight MB comes back
+    # the number of keys is bounded, so one task can mark them; one row of eight MB comes back
     row = model.where("kind = 0").select("payload").coalesce(1).mapInArrow(marked, "bits binary").first()
     return np.frombuffer(row["bits"], np.uint8) if row is not None else np.zeros(1 << (_FILTER_BITS - 3), np.uint8)
 
@@ -84,14 +89,15 @@ def parts_of(size: int, layout: Layout) -> tuple[int, int]:
     return max(1, -(-size // (layout.word_shards * GROUP_BYTES))), max(1, -(-size // (layout.shards * GROUP_BYTES)))
 
 
-def judge(docs: DataFrame, trusted: DataFrame, limit: int = 12_000, low: float = 0.01, high: float = 0.99, slack: float = 2.0, shards: int = 16, scratch: Scratch | None = None) -> DataFrame:
+def judge(docs: DataFrame, trusted: DataFrame, limit: int | None = None, low: float = 0.01, high: float = 0.99, slack: float = 2.0, shards: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """Perplexity of every document, and whether it is within its language's limits.
 
-    ``trusted`` has the ``doc_id`` of trusted documents. The model is fitted on at
-    most ``limit`` of their texts, those of the smallest digests; the rest of
-    them are not seen by it. The limits of a language are the ``low`` and ``high``
-    quantiles of the perplexity of all trusted documents outside the sample, or
-    of all in it where none is outside, widened by the factor ``slack``; a language without trusted documents
+    ``trusted`` has the ``doc_id`` of trusted documents. The model is fitted on
+    all of their distinct texts; a ``limit``, if one is given, keeps those of the
+    smallest digests. The limits of a language are the ``low`` and ``high``
+    quantiles of the perplexity of all its trusted documents (of those that a
+    ``limit`` leaves out of the model, if there are any), widened by the factor
+    ``slack``, as the model has seen their texts; a language without trusted documents
     takes those of all languages together, and without any trusted document
     nothing is refused.
 
@@ -105,19 +111,25 @@ def judge(docs: DataFrame, trusted: DataFrame, limit: int = 12_000, low: float =
     trusted = trusted.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct()
     hashed = docs.where("text <> ''").select("doc_id", F.xxhash64("text").alias("h"), "text")
     marked = hashed.select("doc_id", "h").join(trusted, "doc_id")
-    picked = scratch.write(marked.groupBy("h").agg(F.min("doc_id").alias("doc_id")).orderBy("h").limit(limit), "picked")
-    train = scratch.write(hashed.join(F.broadcast(picked), ["h", "doc_id"], "left_semi").dropDuplicates(["h"]).select("text").repartition(shards, F.xxhash64("text")), "train")  # a bounded number of texts
-    none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    layout = Layout(shards, max(4, shards // 4), none)
+    picked = marked.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    picked = scratch.write(picked if limit is None else picked.orderBy("h").limit(limit), "picked")
+    own = F.broadcast(picked) if picked.count() <= BROADCAST_IDS else picked
+    train = scratch.write(hashed.join(own, ["h", "doc_id"], "left_semi").dropDuplicates(["h"]).select("text"), "train")
+    size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = shards or max(16, size // SHARD_BYTES)
+    sample = Sample.of(train)  # tells where to spread and what to sum early; counts are of all texts
+    layout = Layout(shards, max(4, shards // 4), sample.hot(shards))
     bigrams = scratch.write(count_bigrams(train, layout), "bigrams", codec="none")
     words = scratch.write(count_words(bigrams, layout), "words", ("kind",), "none")
-    kn = KneserNey(Figures.of(bigrams, words))
+    figures = Figures.of(bigrams, words)
+    kn = KneserNey(figures)
     model = weigh(bigrams, words, layout, kn, scratch, "model")
-    # the model is bounded and the documents are not: its shards are copied, and the documents' blocks dealt over the copies
+    seen = _seen(model) if figures.pairs <= _FILTER_PAIRS else None
+    # the model may be much smaller than the documents: its shards are copied then, and the documents' blocks dealt over the copies
     parts = parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, layout)
-    got = score(docs.withColumnRenamed("lang", "tag"), words, model, layout, kn, scratch, common_values(words, model, kn, Sample.of(train)), _seen(model), ("words", "model/kind=1"), parts)
+    got = score(docs.withColumnRenamed("lang", "tag"), words, model, layout, kn, scratch, common_values(words, model, kn, sample), seen, ("words", "model/kind=1"), parts)
     got = scratch.write(got.select("doc_id", F.col("tag").alias("lang"), "n_tokens", F.exp(-F.col("s2") / F.col("n_tokens")).alias("perplexity")), "scores")
-    inside = marked.join(F.broadcast(picked.select("h")), "h", "left_semi").select("doc_id").distinct().withColumn("inside", F.lit(True))
+    inside = marked.join(own.select("h"), "h", "left_semi").select("doc_id").distinct().withColumn("inside", F.lit(True))
     known = trusted.withColumn("trusted", F.lit(True)).join(inside, "doc_id", "left")
     good = scratch.write(got.join(known, "doc_id"), "trusted")
     picks = lambda df, *by: df.groupBy(*by).agg(F.percentile_approx("perplexity", [low, high], 10_000).alias("limits"))

@@ -59,7 +59,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = _table(spark, sf_dir, "labels").where("quality = 1")
-    return judge(_table(spark, sf_dir, "documents"), trusted, limit=12_000)
+    return judge(_table(spark, sf_dir, "documents"), trusted)
 
 
 def op10_inner_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,6 +177,13 @@ def test_kneser_ney(spark, docs, documents):
         assert got[r[0]]["perplexity"] == pytest.approx(math.exp(-log / len(w)), rel=1e-9)
 
 
+def test_kneser_ney_learns_from_all_trusted_texts(spark):
+    """Texts of one word each, all trusted: to a model of all of them they are alike."""
+    df = spark.createDataFrame([(i, f"only{i}", "en") for i in range(12_400)], "doc_id long, text string, lang string").coalesce(2)
+    found = kneser_ney.judge(df, df.select("doc_id")).select(F.round("perplexity", 6).alias("p")).distinct().count()
+    assert found == 1
+
+
 def test_kneser_ney_without_trust(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long")
     assert kneser_ney.judge(docs, none).where("accepted").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
