@@ -18,6 +18,8 @@ _FILTER_BITS = 26
 _FILTER_PAIRS = 1 << 24
 #: Trusted text behind one shard of the model.
 SHARD_BYTES = 4 << 20
+#: Turns in which the shards are counted and asked, so that the postings of one turn are on disk at a time; fewer for less text than so much a turn.
+TURNS, TURN_BYTES = 4, 16 << 20
 #: Text whose postings meet in one group, on average, when documents are scored.
 GROUP_BYTES = 32 << 20
 
@@ -118,16 +120,20 @@ def judge(docs: DataFrame, trusted: DataFrame, limit: int | None = None, low: fl
     size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = shards or max(16, size // SHARD_BYTES)
     sample = Sample.of(train)  # tells where to spread and what to sum early; counts are of all texts
-    layout = Layout(shards, max(4, shards // 4), sample.hot(shards))
-    bigrams = scratch.write(count_bigrams(train, layout), "bigrams", codec="none")
+    whole = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    layout = Layout(shards, max(4, shards // 4), sample.hot(shards), min(TURNS, shards, 1 + whole // TURN_BYTES))
+    bigrams = scratch.write_turns(lambda t: count_bigrams(train, layout, t), "bigrams", layout.turns, codec="none")
+    scratch.drop("train")
     words = scratch.write(count_words(bigrams, layout), "words", ("kind",), "none")
     figures = Figures.of(bigrams, words)
     kn = KneserNey(figures)
-    model = weigh(bigrams, words, layout, kn, scratch, "model")
+    model = weigh(bigrams, words, layout, kn, scratch, "model", "bigrams")
+    scratch.drop("words/kind=1")  # the answers have been used
     seen = _seen(model) if figures.pairs <= _FILTER_PAIRS else None
     # the model may be much smaller than the documents: its shards are copied then, and the documents' blocks dealt over the copies
-    parts = parts_of(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0, layout)
-    got = score(docs.withColumnRenamed("lang", "tag"), words, model, layout, kn, scratch, common_values(words, model, kn, sample), seen, ("words", "model/kind=1"), parts)
+    parts = parts_of(whole, layout)
+    backoffs = ["model/kind=1"] if layout.turns == 1 else [f"model/turn={t}/kind=1" for t in range(layout.turns)]
+    got = score(docs.withColumnRenamed("lang", "tag"), words, model, layout, kn, scratch, common_values(words, model, kn, sample), seen, ("words", *backoffs), "model", parts)
     got = scratch.write(got.select("doc_id", F.col("tag").alias("lang"), "n_tokens", F.exp(-F.col("s2") / F.col("n_tokens")).alias("perplexity")), "scores")
     inside = marked.join(own.select("h"), "h", "left_semi").select("doc_id").distinct().withColumn("inside", F.lit(True))
     known = trusted.withColumn("trusted", F.lit(True)).join(inside, "doc_id", "left")

@@ -17,13 +17,17 @@ found in the word's shard, and for seen bigrams of ``gain(h, w)``, found in the
 bigram's shard: that is the recursive evaluation, regrouped into sums. All sums
 are in double precision. What comes back from the shards meets again by a digest
 of 128 bits of the block's ids and texts.
+
+With several turns, shards are dealt over them, and every pass is made once a turn
+for its shards: texts are read more often, and the shuffle files and spent tables
+of one turn go before the next.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -32,7 +36,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .storage import Scratch
+from .storage import Scratch, bounded_jobs
 from .textkit import Tokens, as_bytes, chunks, mix
 
 _U64 = np.uint64
@@ -161,6 +165,16 @@ class Layout:
     shards: int
     word_shards: int
     hot: tuple[np.ndarray, np.ndarray]
+    turns: int = 1
+
+    @property
+    def word_turns(self) -> int:
+        """Half as many: the postings of words are less than half of those of bigrams."""
+        return min(max(1, self.turns // 2), self.word_shards)
+
+    def of_turn(self, table: DataFrame, turn: int) -> DataFrame:
+        """Rows of a table that was written in turns."""
+        return table if self.turns == 1 else table.where(F.col("turn") == turn)
 
 
 #: Words and bigrams, commonest in a sample, whose values every task knows.
@@ -207,12 +221,17 @@ class Sample:
         return keys[order], -(-self.counts[at][order] * shards // max(self.tokens, 1))
 
 
-def count_bigrams(texts: DataFrame, layout: Layout) -> DataFrame:
-    """Merged ``bigrams`` rows, with their counts of counts."""
+def count_bigrams(texts: DataFrame, layout: Layout, turn: int = 0) -> DataFrame:
+    """Merged ``bigrams`` rows of a turn's shards, with their counts of counts."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, block in _blocks(batches, 0):
             w, h, _, _ = sequences(block)
+            if layout.turns > 1:
+                keep = _shard_of(h, w, layout.shards, layout.hot) % layout.turns == turn
+                w, h = w[keep], h[keep]
+            if not len(w):
+                continue
             key = bigram_key(h, w)
             order = np.argsort(key, kind="stable")
             head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
@@ -311,8 +330,8 @@ class Formulas(Protocol):
         """Of words: three columns, the last of them the model's."""
 
 
-def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, name: str) -> DataFrame:
-    """``scores`` (kind 0) and ``backoffs`` (kind 1) of every bigram and first word."""
+def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, name: str, spent: str | None = None) -> DataFrame:
+    """``scores`` (kind 0) and ``backoffs`` (kind 1) of every bigram and first word. Turns of the table ``spent`` are dropped as they are done."""
     answers = words.where("kind = 1").select("shard", "payload")
     hot_words = layout.hot[0]
 
@@ -326,6 +345,10 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas,
         start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         return h, w, c, wc, wn, start
 
+    def both(turn: int):
+        right = answers if layout.turns == 1 else answers.where(F.col("shard") % layout.turns == turn)
+        return layout.of_turn(bigrams, turn).select("shard", "payload").groupBy("shard").cogroup(right.groupBy("shard"))
+
     whole: dict[int, np.ndarray] = {}
     if len(hot_words):
         def partial(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -336,10 +359,12 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas,
             keep = np.isin(h[start], hot_words)
             return pa.table({"h": pa.array(h[start][keep].view(np.int64)), "s": pa.array(s[keep].tolist(), pa.list_(pa.float64()))})
 
-        got = bigrams.select("shard", "payload").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(partial, "h long, s array<double>").collect()  # twice the shards at most
-        for r in got:
-            k = r["h"] & (2**64 - 1)
-            whole[k] = whole.get(k, 0) + np.array(r["s"])
+        for turn in range(layout.turns):
+            with bounded_jobs(scratch.spark):
+                got = both(turn).applyInArrow(partial, "h long, s array<double>").collect()  # twice the shards at most
+            for r in got:
+                k = r["h"] & (2**64 - 1)
+                whole[k] = whole.get(k, 0) + np.array(r["s"])
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         rows: list[tuple[int, int, bytes]] = []
@@ -360,8 +385,11 @@ def weigh(bigrams: DataFrame, words: DataFrame, layout: Layout, rules: Formulas,
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.table({"kind": pa.array(cols[0], pa.int32()), "shard": pa.array(cols[1], pa.int32()), "payload": pa.array(cols[2], pa.binary())})
 
-    done = bigrams.select("shard", "payload").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(finish, "kind int, " + _PART)
-    return scratch.write(done, name, ("kind",), "none")
+    return scratch.write_turns(lambda t: both(t).applyInArrow(finish, "kind int, " + _PART), name, layout.turns, ("kind",), "none", _dropper(scratch, spent, layout))
+
+
+def _dropper(scratch: Scratch, name: str | None, layout: Layout) -> Callable[[int], None]:
+    return lambda t: scratch.drop(name if layout.turns == 1 else f"{name}/turn={t}") if name else None
 
 
 @dataclass(frozen=True)
@@ -446,11 +474,11 @@ def read_sums(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.frombuffer(p[2], np.float64).reshape(int(np.frombuffer(p[1], np.int64)[0]), len(at))
 
 
-def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, common: Common, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), parts: tuple[int, int] = (1, 1)) -> DataFrame:
+def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, rules: Formulas, scratch: Scratch, common: Common, seen: np.ndarray | None = None, spent: tuple[str, ...] = (), spent_pairs: str | None = None, parts: tuple[int, int] = (1, 1)) -> DataFrame:
     """Per row of ``doc_id, text``, and ``tag`` (string) if there: ``doc_id, n_tokens, s0, s1, s2`` and ``tag``.
 
     s0 and s1 are sums of ``rules.value``'s first two columns; s2 is the model's score. ``seen``,
-    packed bits of the model's bigram keys, spares sending bigrams that the model can't hold. Tables ``spent`` are dropped once the words are done.
+    packed bits of the model's bigram keys, spares sending bigrams that the model can't hold. Tables ``spent`` are dropped once the words are done, turns of ``spent_pairs`` as their bigrams are.
     What is ``common`` is summed where the text is read, so that only rarer words and bigrams travel.
     Postings of a word shard and of a bigram shard are dealt by block over so many ``parts``, each with a copy of the shard of a small model.
     """
@@ -471,7 +499,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
             digest.update(t)
         return digest.digest(), packed
 
-    def postings(key: np.ndarray, d: np.ndarray, shard_of, shards: int, block: bytes, head: bytes, own: np.ndarray, always: bool) -> list[tuple[int, bytes, bytes]]:
+    def postings(key: np.ndarray, d: np.ndarray, shard_of, shards: int, block: bytes, head: bytes, own: np.ndarray, always: bool, turn: int, turns: int) -> list[tuple[int, bytes, bytes]]:
         order = np.argsort(key, kind="stable")
         key, d = key[order], d[order]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -480,7 +508,7 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         by = np.argsort(shard, kind="stable")
         kind = np.uint16 if len(d) == 0 or int(d.max()) < 1 << 16 else np.uint32
         runs = [(s, by[g]) for s, g in _runs(shard[by])]
-        first = int.from_bytes(block[6:12]) % shards
+        first = turn + turns * (int.from_bytes(block[6:12]) % len(range(turn, shards, turns)))
         if not any(s == first for s, _ in runs):
             runs.append((first, by[:0]))  # the head and what the task knew itself go with one of the shards
         rows, in_block = [], docs_in(head)
@@ -497,28 +525,41 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
         cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
         return pa.record_batch([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["shard", "block", "payload"])
 
-    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _blocks(batches, 1):
-            w, h, d, size = sequences(texts)
-            block, head = header(batch, texts, size)
-            key, d = np.concatenate([w, np.full(len(texts), BEGIN, _U64)]), np.concatenate([d, np.arange(len(texts))])
-            at, known = _look(common.words, key)
-            own = np.stack([np.bincount(d[known], common.values[at[known], j], len(texts)) for j in range(3)]).astype(np.float64)
-            yield as_batch(postings(key[~known], d[~known], lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, own, True), layout.word_shards, parts[0])
-
-    def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.unpackbits(seen).astype(bool) if seen is not None else None
-        for batch, texts in _blocks(batches, 1):
-            w, h, d, size = sequences(texts)
-            block, head = header(batch, texts, size)
-            key = bigram_key(h, w)
-            if table is not None:
-                keep = np.flatnonzero(table[(key >> _U64(64 - bits)).astype(np.int64)])
-                key, w, h, d = key[keep], w[keep], h[keep], d[keep]
-            at, known = _look(common.pairs, key)
-            own = np.bincount(d[known], common.gains[at[known]], len(texts)).astype(np.float64)
-            key, w, h, d = key[~known], w[~known], h[~known], d[~known]
-            yield as_batch(postings(key, d, lambda k, i: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, own, False), layout.shards, parts[1])
+    def send_words(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, texts in _blocks(batches, 1):
+                w, h, d, size = sequences(texts)
+                block, head = header(batch, texts, size)
+                key, d = np.concatenate([w, np.full(len(texts), BEGIN, _U64)]), np.concatenate([d, np.arange(len(texts))])
+                if layout.word_turns > 1:
+                    keep = word_shard(key, layout.word_shards) % layout.word_turns == turn
+                    key, d = key[keep], d[keep]
+                at, known = _look(common.words, key)
+                own = np.stack([np.bincount(d[known], common.values[at[known], j], len(texts)) for j in range(3)]).astype(np.float64)
+                # the head comes once, with the first turn
+                yield as_batch(postings(key[~known], d[~known], lambda k, _: word_shard(k, layout.word_shards), layout.word_shards, block, head, own, turn == 0, turn, layout.word_turns), layout.word_shards, parts[0])
+
+        return send
+
+    def send_pairs(turn: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = np.unpackbits(seen).astype(bool) if seen is not None else None
+            for batch, texts in _blocks(batches, 1):
+                w, h, d, size = sequences(texts)
+                block, head = header(batch, texts, size)
+                if layout.turns > 1:
+                    keep = _shard_of(h, w, layout.shards, layout.hot) % layout.turns == turn
+                    w, h, d = w[keep], h[keep], d[keep]
+                key = bigram_key(h, w)
+                if table is not None:
+                    keep = np.flatnonzero(table[(key >> _U64(64 - bits)).astype(np.int64)])
+                    key, w, h, d = key[keep], w[keep], h[keep], d[keep]
+                at, known = _look(common.pairs, key)
+                own = np.bincount(d[known], common.gains[at[known]], len(texts)).astype(np.float64)
+                key, w, h, d = key[~known], w[~known], h[~known], d[~known]
+                yield as_batch(postings(key, d, lambda k, i, h=h, w=w: _shard_of(h[i], w[i], layout.shards, layout.hot), layout.shards, block, head, own, False, turn, layout.turns), layout.shards, parts[1])
+
+        return send
 
     def opened(payload: bytes):
         p = split_parts(payload)
@@ -595,15 +636,22 @@ def score(docs: DataFrame, words: DataFrame, model: DataFrame, layout: Layout, r
     part = "shard int, block binary, payload binary"
     out = "block binary, head binary, sums binary"
     stored = words.where("kind = 0").select("kind", "shard", "payload").union(model.where("kind = 1").select("kind", "shard", "payload"))
-    by_word = docs.mapInArrow(send_words, part).groupBy("shard").cogroup(copied(stored, layout.word_shards, parts[0]).groupBy("shard")).applyInArrow(word_sums, out)
-    by_pair = docs.mapInArrow(send_pairs, part).groupBy("shard").cogroup(copied(model.where("kind = 0").select("shard", "payload"), layout.shards, parts[1]).groupBy("shard")).applyInArrow(pair_sums, out)
-    # one after the other, so that only one set of shuffle files is there at a time; both passes cut the same
+    def by_word(turn: int) -> DataFrame:
+        right = stored if layout.word_turns == 1 else stored.where(F.col("shard") % layout.word_turns == turn)
+        return docs.mapInArrow(send_words(turn), part).groupBy("shard").cogroup(copied(right, layout.word_shards, parts[0]).groupBy("shard")).applyInArrow(word_sums, out)
+
+    def by_pair(turn: int) -> DataFrame:
+        right = layout.of_turn(model, turn).where("kind = 0").select("shard", "payload")
+        return docs.mapInArrow(send_pairs(turn), part).groupBy("shard").cogroup(copied(right, layout.shards, parts[1]).groupBy("shard")).applyInArrow(pair_sums, out)
+
+    # one after the other, so that only one set of shuffle files is there at a time; all passes cut the same
     # blocks, as ``docs`` is a stored table
-    by_word = scratch.write(by_word, "sums-words")
+    word_part = scratch.write_turns(by_word, "sums-words", layout.word_turns)
     for table in spent:
         scratch.drop(table)
-    by_pair = scratch.write(by_pair, "sums-pairs")
-    return by_word.union(by_pair).groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, s0 double, s1 double, s2 double" + (", tag string" if tagged else ""))
+    pair_part = scratch.write_turns(by_pair, "sums-pairs", layout.turns, done=_dropper(scratch, spent_pairs, layout))
+    sums = ["block", "head", "sums"]
+    return word_part.select(sums).union(pair_part.select(sums)).groupBy("block").applyInArrow(total, "doc_id long, n_tokens long, s0 double, s1 double, s2 double" + (", tag string" if tagged else ""))
 
 
 def fold_of(doc_id: Column, parts: int) -> Column:

@@ -6,11 +6,11 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 _LOCAL: list[str] = []
 _WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
@@ -70,6 +70,18 @@ class Scratch:
         self._schemas[name] = df.schema
         return self.read(name)
 
+    def write_turns(self, make: Callable[[int], DataFrame], name: str, turns: int, partition_by: tuple[str, ...] = (), codec: str = "zstd", done: Callable[[int], None] = lambda t: None) -> DataFrame:
+        """One table written in several turns, so that the shuffle files of one turn are there at a time; ``done`` is called after each.
+
+        The table has its turn as a column, ``turn``, if there are several, and partitions ``turn=0`` and so on that can be dropped.
+        """
+        for t in range(turns):
+            out = self.write(make(t), name if turns == 1 else f"{name}/turn={t}", partition_by, codec)
+            done(t)
+        if turns > 1:
+            self._schemas[name] = StructType([*out.schema.fields, StructField("turn", IntegerType())])
+        return self.read(name)
+
     def read(self, name: str) -> DataFrame:
         """A table written here; its schema is known, so an empty one reads as well."""
         return self.spark.read.schema(self._schemas[name]).parquet(self.path(name))
